@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, url_filter, warc
+from . import decontam, packing, pii, url_filter, warc
 from .common import table
 
 #: The rules of the URL filter query: host, start of the path, verdict.
@@ -33,13 +33,23 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc_chunks": op2_warc_chunks,
+    "op6_pii": op6_pii,
     "op8_url_filter": op8_url_filter,
+    "op10_block_max_wand": op10_block_max_wand,
 }
