@@ -29,8 +29,7 @@ SCHEMA = (
     "tier int, step_group long"
 )
 #: Chunks longer than this, and chunks beyond so many, are encoded anew each time: a task's cache stays bounded.
-CHUNK_CHARS, CHUNKS = 40, 600_000
-_TO_SPACE = str.maketrans("\n\t\r", "   ")
+CHUNK_CHARS, CHUNKS = 40, 1_500_000
 
 
 class ChunkIds(dict):
@@ -61,7 +60,7 @@ class ChunkIds(dict):
         return out
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(_TO_SPACE).split(" "))) if text else b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))) if text else b""
 
 
 @lru_cache(maxsize=1)
