@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, url_filter, warc
+from . import chosen_path, decontam, packing, pii, url_filter, warc
 from .common import table
 
 #: The rules of the URL filter query: host, start of the path, verdict.
@@ -37,6 +37,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc_chunks": op2_warc_chunks,
     "op6_pii": op6_pii,
+    "op7_chosen_path": op7_chosen_path,
     "op8_url_filter": op8_url_filter,
     "op10_block_max_wand": op10_block_max_wand,
 }
