@@ -3,12 +3,13 @@
 Writing: each page is a ``response`` record, or a ``revisit`` of the page with the smallest id among equal payloads.
 A payload above ``chunk_bytes`` is cut into WARC segments (a first record and ``continuation`` records), each a row of
 its own, so no task holds a whole large record as bytes twice. The archives are plain WARC files: records joined by
-CRLF CRLF, written through Spark's text sink and so with its commit protocol on any file system. A cut also falls inside
+CRLF CRLF, written through Spark's text sink and so with its commit protocol on any file system,
+one gzip stream per file. A cut also falls inside
 any place where the payload would look like the border of a record, so that archives can be split at borders alone.
 
 Reading: splits of the archives become rows of record identifier, chunk number and bytes; ``digests`` then carries the
 SHA-1 state from chunk to chunk, one chunk in memory at a time, and only for records of several chunks. Other records
-are digested where they are read, without a shuffle.
+are written, read and digested by DataFrame functions, without a shuffle for reading.
 
 Defined results: null html is an empty payload; a null url is written without a target; a page id that repeats gives a
 record per row, and equal payloads under the smallest id are responses all; where all ids of equal payloads are null, all are responses;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 CRLF = "\r\n"
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: What stands between records in the files; a row of the text sink starts after it.
 BORDER = "\r\n\r\nWARC/1.1\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,7 +46,7 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, minimum_revisit: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0) -> None:
     """Writes ``pages`` (page_id, url, html) as WARC files below ``path``."""
     records = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
@@ -51,12 +54,15 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, mini
     heads = records.where(F.col("bytes") >= minimum_revisit).groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "head")
     told = records.join(heads, "digest", "left").withColumn("revisit", F.coalesce((F.col("bytes") >= minimum_revisit) & ~F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull(), F.lit(False)))
 
+    told = told.select("page_id", "url", "payload", base32_of_hex(F.col("digest")).alias("digest"), "bytes", "head", "revisit")
+    plain = F.col("revisit") | ((F.col("bytes") <= chunk_bytes) & (F.instr(F.col("payload").cast("string"), BORDER) == 0))
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[bytes] = []
             held = 0
-            for page, url, payload, digest, size, head, revisit in zip(*(batch.column(k) for k in range(7)), strict=True):
-                for row in _record(page.as_py(), url.as_py(), payload.as_buffer(), digest.as_py(), size.as_py(), head.as_py(), revisit.as_py(), chunk_bytes):
+            for page, url, payload, digest, size in zip(*(batch.column(k) for k in range(5)), strict=True):
+                for row in _segments(page.as_py(), url.as_py(), payload.as_buffer(), digest.as_py(), size.as_py(), chunk_bytes):
                     rows.append(row)
                     held += len(row)
                     if held > 8 * chunk_bytes:
@@ -65,23 +71,40 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, mini
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    out = told.select("page_id", "url", "payload", base32_of_hex(F.col("digest")).alias("digest"), "bytes", "head", "revisit")
-    out.mapInArrow(segments, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    single = told.where(plain).select(_whole_record().alias("value"))
+    several = told.where(~plain).mapInArrow(segments, "record binary").select(F.col("record").cast("string").alias("value"))
+    single.unionAll(several).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+
+
+def _whole_record() -> Column:
+    """A record of one segment, or a revisit, as text."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    optional = lambda name, value: F.coalesce(line(name, value.cast("string")), F.lit(""))
+    revisit = F.col("revisit")
+    return F.concat(
+        F.lit(f"WARC/1.1{CRLF}"),
+        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
+        F.lit(f"Content-Type: text/html{CRLF}"),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        optional("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")),
+        line("X-Payload-Length", F.col("bytes").cast("string")),
+        optional("X-Page-ID", F.col("page_id")),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT}{CRLF}X-Refers-To-Page-ID: "), F.col("head").cast("string"), F.lit(f"{CRLF}Content-Length: 0{CRLF}{CRLF}"))).otherwise(
+            F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF), F.col("payload").cast("string"))
+        ),
+    )
 
 
-def _record(page: int | None, url: str | None, payload: memoryview, digest: str, size: int, head: int | None, revisit: bool, chunk_bytes: int) -> Iterator[bytes]:
-    """The segments of one record, each with its header block."""
+def _segments(page: int | None, url: str | None, payload: memoryview, digest: str, size: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The segments of a response, each with its header block."""
     name = f"<urn:uuid:{uuid.uuid4()}>"
-    fields = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{digest}"]
+    fields = ["WARC-Type: response", f"WARC-Record-ID: {name}", "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
-        fields.append("WARC-Target-URI: " + "".join(c if c > "\x20" and c != "\x7f" else "%{:02X}".format(ord(c)) for c in url))
+        fields.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", "%20", url))
     fields.append(f"X-Payload-Length: {size}")
     if page is not None:
         fields.append(f"X-Page-ID: {page}")
-    if revisit:
-        fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {head}"]
-        yield _block(fields, b"")
-        return
     cuts = list(_cuts(payload, chunk_bytes))
     if len(cuts) > 1:
         fields.append("WARC-Segment-Number: 1")
@@ -118,43 +141,30 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     Files are split at borders, so a task holds one segment of a record at a time. A segment whose length is not the
     one that its header tells stops the job.
     """
-    text = spark.read.option("lineSep", BORDER).text(path).select(F.col("value").cast("binary").alias("raw"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for raw in batch.column(0):
-                for col, v in zip(out, _parsed(raw.as_buffer()), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    i64, s = pa.int64(), pa.string()
-    schema = pa.schema([("record_id", s), ("chunk_no", i64), ("page_id", i64), ("record_type", s), ("payload_digest", s), ("payload_bytes", i64), ("refers_to", i64), ("n_bytes", i64), ("whole", pa.bool_()), ("chunk", pa.binary())])
-    return text.mapInArrow(parse, "record_id string, chunk_no long, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, n_bytes long, whole boolean, chunk binary")
-
-
-def _parsed(raw) -> tuple:
-    raw = bytes(raw)
-    end = raw.find(b"\r\n\r\n")
-    lines = raw[:end].decode("utf-8", "surrogatepass").split(CRLF)
-    f = dict(x.split(": ", 1) for x in lines if ": " in x)
-    n = int(f["Content-Length"])
-    chunk = raw[end + 4 : end + 4 + n]
-    if len(chunk) != n or raw[end + 4 + n :] not in (b"", b"\r\n\r\n"):
-        raise ValueError(f"segment {f['WARC-Record-ID']} has not the length {n} that its header tells")
-    number = lambda k: int(f[k]) if k in f else None
-    return (
-        f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]),
-        number("WARC-Segment-Number") or 1,
-        number("X-Page-ID"),
-        f["WARC-Type"],
-        f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
-        number("X-Payload-Length"),
-        number("X-Refers-To-Page-ID"),
-        n,
-        "WARC-Segment-Number" not in f,
-        chunk,
+    text = spark.read.option("lineSep", BORDER).text(path)
+    head = F.substring_index("value", CRLF + CRLF, 1)
+
+    def field(name: str) -> Column:
+        found = F.regexp_extract("head", rf"(?:^|\n){name}: ([^\r]*)", 1)
+        return F.when(found != "", found)
+
+    cut = text.select(head.alias("head"), F.octet_length(head).alias("at"), F.col("value").cast("binary").alias("raw"))
+    parsed = cut.select(
+        F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
+        F.coalesce(field("WARC-Segment-Number").cast("long"), F.lit(1).cast("long")).alias("chunk_no"),
+        field("X-Page-ID").cast("long").alias("page_id"),
+        field("WARC-Type").alias("record_type"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        field("X-Payload-Length").cast("long").alias("payload_bytes"),
+        field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        field("Content-Length").cast("long").alias("n_bytes"),
+        field("WARC-Segment-Number").isNull().alias("whole"),
+        F.expr("substring(raw, at + 5, CAST(regexp_extract(head, '(?:^|\n)Content-Length: ([0-9]+)', 1) AS INT))").alias("chunk"),
+        (F.octet_length("raw") - F.col("at") - 4).alias("rest"),
     )
+    # the last record of a file is followed by CRLF CRLF
+    whole = (F.col("rest") - F.col("n_bytes")).isin(0, 4)
+    return parsed.withColumn("n_bytes", F.when(F.coalesce(whole, F.lit(False)), F.col("n_bytes")).otherwise(F.raise_error(F.concat(F.lit("segment has not the length that its header tells: "), F.coalesce("record_id", F.lit("no id")))).cast("long"))).drop("rest")
 
 
 def digests(chunks: DataFrame) -> DataFrame:
@@ -197,7 +207,7 @@ def records(chunks: DataFrame) -> DataFrame:
     return both.select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
-def round_trip(pages: DataFrame, chunk_bytes: int = 1 << 20, minimum_revisit: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads their records back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
