@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, decontam, packing, pii, url_filter, warc
+from . import chosen_path, decontam, packing, pii, quality, url_filter, warc
 from .common import table
 
 #: The rules of the URL filter query: host, start of the path, verdict.
@@ -33,6 +33,10 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc_chunks": op2_warc_chunks,
+    "op3_pu_quality": op3_pu_quality,
     "op6_pii": op6_pii,
     "op7_chosen_path": op7_chosen_path,
     "op8_url_filter": op8_url_filter,
