@@ -2,9 +2,9 @@
 
 Each half of the unit vectors has a codebook of its own; the product of the two is a grid of cells, and every vector is
 indexed in its nearest cell. A vector visits cells in the order of summed half distances, generated by the multi-sequence
-walk over the two sorted centroid lists, until it has visited as many as reach the target recall. That number, and
-the codebooks, are fitted on a sample of at most ``sample`` vectors, whose near pairs are found by brute force; all rows are indexed
-and searched. Candidates are verified in double precision.
+walk over the two sorted centroid lists, until it has visited as many as reach the target recall. That number and
+the codebooks are fitted on a sample of at most ``sample`` vectors, by its near pairs (found by brute force) and by made-up
+pairs just at the threshold; all rows are indexed and searched. The codebooks grow with the root of the number of vectors, so that cells stay small. Candidates are verified in double precision.
 
 Vectors with equal label and equal direction bits form a class that is searched once. Within a cell, members and visitors meet in blocks of
 bounded size, each pair of blocks in a group of its own. A pair found from both sides is counted from one side only: a visitor knows all
@@ -91,8 +91,16 @@ class Grid:
             for p, q in zip(i[keep] + k, j[keep], strict=True):
                 one, two = np.flatnonzero(visits[p] == home[q]), np.flatnonzero(visits[q] == home[p])
                 needed.append(min([most, *one[:1] + 1, *two[:1] + 1]))
-        if not needed:
-            return min(8, most)
+        # pairs just at the threshold in random directions, the hardest to find, whether or not the sample has any
+        rng = np.random.default_rng(5)
+        one = x[: min(1000, len(x))]
+        noise = rng.normal(size=one.shape)
+        noise -= (noise * one).sum(axis=1)[:, None] * one
+        noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
+        theirs = self.visits(at_least * one + np.sqrt(max(0.0, 1 - at_least**2)) * noise, most)
+        for p in range(len(one)):
+            a, b = np.flatnonzero(visits[p] == theirs[p, 0]), np.flatnonzero(theirs[p] == home[p])
+            needed.append(min([most, *a[:1] + 1, *b[:1] + 1]))
         needed.sort()
         return int(max(min(4, most), needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]))
 
@@ -114,7 +122,7 @@ def _unit(vectors: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, at_least: float = 0.93, codes: int = 24, target: float = 0.999, sample: int = 4000, most_cells: int = 64, block: int = 1024
+    vectors: DataFrame, at_least: float = 0.93, cell_members: int = 200, target: float = 0.999, sample: int = 4000, most_cells: int = 64, block: int = 1024
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
@@ -130,6 +138,7 @@ def near_duplicates(
     picked = classes.orderBy(F.xxhash64("ka", F.lit(9))).limit(sample).select("label", "unit").collect()
     x = np.array([r["unit"] for r in picked])
     names = {v: k for k, v in enumerate(dict.fromkeys(r["label"] for r in picked))}
+    codes = int(np.clip(np.sqrt(classes.count() / cell_members), 8, 256))
     grid = spark.sparkContext.broadcast(Grid(x, np.array([names[r["label"]] for r in picked]), at_least, codes, target, most_cells))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
