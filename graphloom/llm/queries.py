@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, decontam, multi_index, packing, pii, quality, url_filter, warc
+from . import chosen_path, decontam, multi_index, packing, pii, quality, suffix_dedup, url_filter, warc
 from .common import table
 
 #: The rules of the URL filter query: host, start of the path, verdict.
@@ -54,6 +54,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_chosen_path": op7_chosen_path,
     "op8_url_filter": op8_url_filter,
+    "op9_sparse_suffix": op9_sparse_suffix,
     "op10_block_max_wand": op10_block_max_wand,
 }
