@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, decontam, multi_index, packing, pii, quality, suffix_dedup, url_filter, warc
+from . import chosen_path, decontam, katz, multi_index, packing, pii, quality, suffix_dedup, url_filter, warc
 from .common import table
 
 #: The rules of the URL filter query: host, start of the path, verdict.
@@ -37,6 +37,10 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc_chunks": op2_warc_chunks,
     "op3_pu_quality": op3_pu_quality,
+    "op4_katz_lm": op4_katz_lm,
     "op5_multi_index": op5_multi_index,
     "op6_pii": op6_pii,
     "op7_chosen_path": op7_chosen_path,
