@@ -1,11 +1,72 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+STAGES are applied one after another; each result is written as Parquet and read again as the next stage's documents:
+
+1. quality classifier (positive-unlabelled): documents with a score below 0.3 go;
+2. MinHash near-duplicates (chosen-path join, five-word shingles, similarity of 0.8 or more): one document of each group stays;
+3. benchmark decontamination (BM25 with block-max WAND): documents that hold a test item go;
+4. personal data (weak supervision): spans are replaced by their kind in angle brackets;
+5. packing: the pieces of the remaining documents in sequences of at most 4096 tokens.
+
+All but the last return the columns of documents. A row is told by its doc_id: of rows that repeat an id with equal text one stays. A
+document with a null id cannot be told from others: it is kept by stage 2 and goes from stages 1 and 3 if any such one does.
+"""
+
+from __future__ import annotations
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from graphloom.llm import chosen_path, decontam, packing, pii, quality
+from graphloom.llm.common import shared_dir, table
+from graphloom.llm.queries import tokenizer
+
+#: SQL cannot express training, signatures or packing; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("rejected_id")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(docs, words=5, threshold=0.8)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    rest = docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    # repeated rows are copies too; the join has already brought the rows of an id together
+    return rest.withColumn("__copy", F.sha2("text", 256)).dropDuplicates(["doc_id", "__copy"]).drop("__copy")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking_id")).distinct()
+    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_id")), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer())
+
+
+STAGES = [
+    ("quality", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
     return docs
