@@ -25,8 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: compact, and read by columns."""
+    """``df`` written once as Parquet in the shared folder and read back: compact, and read by columns.
+
+    It is written by at most two tasks for each core: many shuffle partitions would leave many tiny files.
+    """
     spark = df.sparkSession
+    df = df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
