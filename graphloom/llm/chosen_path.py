@@ -14,7 +14,8 @@ in 10^9 at depth 1 and one in 10^5 at depth 3. Signature similarity must reach t
 standard deviations of the estimate).
 
 Defined results: a document without words, or with null text, has an empty set, no links and itself as component; one
-with fewer words than a shingle has the whole sequence as its only shingle; a repeated id is one node; a null id has no
+with fewer words than a shingle has the whole sequence as its only shingle; an id that repeats is one
+node with all its texts; a null id has no
 component and is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, WordHashes, components, gram_hashes, lower_words, mix, stored
+from .common import WordHashes, components, gram_hashes, lower_words, mix, stored
 
 POSITIONS = 64
 _RNG = np.random.default_rng(7)
@@ -128,17 +129,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
 
 
 def propose(groups: DataFrame, reps: DataFrame, at_least: float) -> DataFrame:
-    """(cluster, rep): members of a node that signatures connect. The same members get the same cluster, wherever found."""
+    """(cluster, rep, root): members of a node that signatures connect, and the smallest of them. The same members get the
+    same cluster, wherever found."""
     need = int(np.ceil(at_least * POSITIONS))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clusters, members = [], []
+        clusters, members, roots = [], [], []
         for _, rows in _grouped(batches, 0):
             ids = np.array([r[0].as_py() for r in rows], np.int64)
             order = np.argsort(ids)
             ids = ids[order]
             sig = np.stack([r[1].values.to_numpy() for r in rows])[order]
-            forest = Forest(len(ids))
             root = np.arange(len(ids))
             for i in range(len(ids) - 1):
                 other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
@@ -146,22 +147,41 @@ def propose(groups: DataFrame, reps: DataFrame, at_least: float) -> DataFrame:
                     continue
                 near = other[(sig[other] == sig[i]).sum(axis=1) >= need]
                 if len(near):
-                    for j in near:
-                        forest.join(i, int(j))
-                    root = np.array([forest.find(x) for x in range(len(ids))])
+                    merged = np.unique(np.append(root[near], root[i]))
+                    root[np.isin(root, merged)] = merged[0]
             for r in np.unique(root):
                 own = ids[root == r]
                 if len(own) > 1:
                     name = int(np.add.reduce(mix(own.astype(np.uint64)), dtype=np.uint64).astype(np.int64))
                     clusters += [name] * len(own)
                     members += own.tolist()
+                    roots += [int(own[0])] * len(own)
             if len(members) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(members, pa.int64())], ["cluster", "rep"])
-                clusters, members = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(members, pa.int64())], ["cluster", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (clusters, members, roots)], ["cluster", "rep", "root"])
+                clusters, members, roots = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (clusters, members, roots)], ["cluster", "rep", "root"])
 
     dealt = groups.join(reps, "rep").select("node", "rep", "sig").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(task, "cluster long, rep long").distinct()
+    return dealt.mapInArrow(task, "cluster long, rep long, root long").distinct()
+
+
+def gathered(clusters: DataFrame, most: int) -> DataFrame:
+    """(cluster, rep): clusters that share members become one, if that has at most ``most`` members; others stay as they are.
+
+    A representative is then compared in one place, not once for each tree that proposed it."""
+    whole = stored(components(clusters.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "gathered")
+    few = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("component")
+    one = whole.join(few, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
+    rest = clusters.select("cluster", "rep").join(one.select("rep"), "rep", "left_anti").select("cluster", "rep")
+    return one.unionAll(rest)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
 def confirm(clusters: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -173,7 +193,6 @@ def confirm(clusters: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         for _, rows in _grouped(batches, 0):
             ids = [r[0].as_py() for r in rows]
             own = [np.frombuffer(r[1].as_buffer(), np.uint64) for r in rows]
-            sets = [frozenset(x.tolist()) if len(rows) > 2 else x for x in own]
             parts: list[list[int]] = []
             for i in range(len(ids)):
                 joined: list[int] = []
@@ -183,7 +202,7 @@ def confirm(clusters: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
                         small, large = sorted((len(own[i]), len(own[j])))
                         if 100 * small < percent * large:
                             continue
-                        both = len(sets[i] & sets[j]) if len(rows) > 2 else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        both = _common(own[i], own[j])
                         if 100 * both >= percent * (small + large - both):
                             out.append((ids[i], ids[j]))
                             joined += part
@@ -219,18 +238,19 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 12, small: int = 64, depth: int = 3, block: int = 2048, slack: float = 0.2
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 12, small: int = 64, depth: int = 3, block: int = 1024, slack: float = 0.2
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(sketch(docs, words), "sketches")
     name = ["n_shingles", "set_a", "set_b"]
     classes = stored(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*name).agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select("rep", "sig").dropDuplicates(["rep"])
-    clusters = stored(propose(nodes_of(reps, threshold, trees, small, depth, block), reps, threshold - slack), "clusters")
-    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
-    found = components(confirm(clusters, sets, threshold))
+    reps = classes.select("rep", "sig")
+    proposed = stored(propose(nodes_of(reps, threshold, trees, small, depth, block), reps, threshold - slack), "proposed")
+    clusters = stored(gathered(proposed, 8 * small), "clusters")
+    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = docs.join(wanted, "doc_id", "left_semi").withColumn("name", F.xxhash64("text")).dropDuplicates(["doc_id", "name"])
+    found = components(confirm(clusters, shingle_sets(texts, words), threshold))
     member = classes.join(found, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("component", "rep").alias("component"))
     return (
         sketches.select("doc_id", *name)
