@@ -5,9 +5,9 @@ linear model can bend. Trusted positives are the documents labelled 1 outside th
 set is every document outside the held-out fold, whatever its label. No row is sampled: each Newton step sums gradients
 and curvature over the whole stored feature table, in two levels, and brings one small matrix to the driver.
 
-The class prior is estimated without negatives: a first model tells positives from unlabelled text, and the share of
-unlabelled mass over positive mass in a score region is smallest where only positives live; that minimum is the prior. The
-second model minimises  prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)])  for logistic loss l; a step that makes the
+The class prior is estimated without negatives: a first model tells positives from unlabelled text, and on rows that it was not
+fitted to (every second) the share of unlabelled mass over positive mass in a region of high scores is smallest where only positives
+live; the lower confidence bound of that minimum is the prior. The second model minimises  prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)])  for logistic loss l; a step that makes the
 second term negative is shortened, and training ends where no step keeps it from being negative.
 
 Defined results: null text is the empty text, whose ratios are all 0; ids that repeat are scored once per row; of several labels of
@@ -154,21 +154,23 @@ def _unpack(v: np.ndarray, d: int) -> tuple:
     return tuple((p[0], p[1], p[2], p[3 : 3 + d], p[3 + d : 3 + 2 * d], p[3 + 2 * d :].reshape(d, d)) for p in (v[:half], v[half:]))
 
 
-def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and class prior from training rows (x, positive)."""
+def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and class prior from training rows (doc_id, x, positive)."""
     d = SIZE
-    penalty = ridge * np.eye(d)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    told = rows.where(~F.coalesce(apart, F.lit(False)))
+    penalty = max(ridge, 1 / max(1, rows.where("positive").count())) * np.eye(d)
     penalty[0, 0] = 1e-9
     w = np.zeros(d)
     for _ in range(steps):  # positives against unlabelled text, as if of equal number
-        (n_p, _, _, sp, xp, hp), (n_u, _, _, su, _, hu) = _unpack(_sums(rows, *_curves(w)), d)
+        (n_p, _, _, sp, xp, hp), (n_u, _, _, su, _, hu) = _unpack(_sums(told, *_curves(w)), d)
         if not n_p:
             return np.zeros(d), 0.5
         step = np.linalg.solve((hp / n_p + hu / n_u) + penalty, (sp - xp) / n_p + su / n_u + penalty @ w)
         w = w - step
         if np.abs(step).max() < 1e-3:
             break
-    prior = estimate_prior(rows, w)
+    prior = estimate_prior(rows.where(apart), w)
     w = np.zeros(d)
     w[0] = np.log(prior / (1 - prior))
     last, scale, step = w, 1.0, np.zeros(d)
@@ -189,8 +191,12 @@ def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4) -> tuple[np.ndarra
     return w, prior
 
 
-def estimate_prior(rows: DataFrame, w: np.ndarray, bins: int = 400, least_mass: float = 0.1) -> float:
-    """The smallest ratio of unlabelled to positive mass over regions of high score that hold enough positives."""
+def estimate_prior(rows: DataFrame, w: np.ndarray, bins: int = 400, least_mass: float = 0.5, z: float = 1.5) -> float:
+    """The smallest ratio of unlabelled to positive mass over regions of high score that hold half of the positives or more.
+
+    It is a lower confidence bound (``z`` standard errors): too high a prior would make unlabelled positives pay for more positives than there
+    are, and the risk negative; too low a one only lowers the scores of positives.
+    """
 
     def of_batch(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
         s = np.clip(((1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) * bins).astype(int), 0, bins - 1)
@@ -198,9 +204,13 @@ def estimate_prior(rows: DataFrame, w: np.ndarray, bins: int = 400, least_mass:
 
     v = _sums(rows, of_batch, 2 * bins)
     p, u = v[:bins][::-1].cumsum(), v[bins:][::-1].cumsum()
-    mass_p, mass_u = p / max(1, p[-1]), u / max(1, u[-1])
+    if not p[-1]:
+        return 0.5
+    mass_p, mass_u = p / p[-1], u / u[-1]
+    high = mass_p + z * np.sqrt(mass_p * (1 - mass_p) / p[-1])
+    low = mass_u - z * np.sqrt(mass_u * (1 - mass_u) / u[-1])
     enough = mass_p >= least_mass
-    return float(np.clip((mass_u[enough] / mass_p[enough]).min(), 0.05, 0.99))
+    return float(np.clip((low[enough] / high[enough]).min(), 0.05, 0.99))
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, cut: float = 0.3) -> DataFrame:
