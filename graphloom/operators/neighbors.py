@@ -95,8 +95,7 @@ def has_typed_neighbor(neighbors: Column, kind: Column, x: Column) -> Column:
 
 
 def neighbors_of_type(neighbors: Column, kind: Column) -> Column:
-    raised = F.raise_error(F.concat(F.lit("the type "), kind.cast("string"), F.lit(" is not exist!")))
-    return F.when(F.map_contains_key(neighbors, kind), F.try_element_at(neighbors, kind)).otherwise(F.when(raised.isNotNull(), None))
+    return F.coalesce(F.try_element_at(neighbors, kind), F.raise_error(F.concat(F.lit("the type "), kind.cast("string"), F.lit(" is not exist!"))))
 
 
 def pairs_in(edges: DataFrame, pairs: DataFrame, direction: EdgeDirection = OUT) -> DataFrame:

@@ -24,9 +24,12 @@ def _starts(vertices: DataFrame, walks_per_vertex: int) -> DataFrame:
     return vertices.select(F.col("id").alias("start"), n.alias("walk"), F.array("id").alias("path"), F.col("id").alias("cur"), F.lit(None).cast("bigint").alias("prev"))
 
 
-def _advance(walks: DataFrame, step: DataFrame) -> DataFrame:
-    """Walks with their next vertex (start, walk, nxt), where there is one."""
+def _advance(walks: DataFrame, step: DataFrame, or_raise: str | None = None) -> DataFrame:
+    """Walks with their next vertex (start, walk, nxt), where there is one; with ``or_raise`` a walk without one raises that."""
     moved = walks.join(step, ["start", "walk"], "left")
+    if or_raise:
+        stuck = F.col("cur").isNotNull() & F.col("nxt").isNull()
+        moved = moved.withColumn("nxt", F.when(stuck, F.raise_error(F.lit(or_raise)).cast("bigint")).otherwise(F.col("nxt")))
     on = F.col("nxt").isNotNull()
     return moved.select(
         "start", "walk", F.when(on, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"), F.col("nxt").alias("cur"), F.when(on, F.col("cur")).alias("prev")
@@ -100,12 +103,9 @@ def metapath(
     for position in range(1, path_length):
         kind = meta_path[position % len(meta_path)]
         ends = walks.where("cur IS NOT NULL").select("start", "walk", "cur", _u(seed, "metapath", position).alias("u"))
-        picked = ends.join(lengths.where(F.col("nbr_type") == kind).drop("nbr_type"), "cur", "left" if strict else "inner")
-        if strict:
-            picked = picked.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.lit(f"the type {kind} is not exist!")).cast("long")).otherwise(F.col("n")))
-        picked = picked.withColumn("k", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
+        picked = ends.join(lengths.where(F.col("nbr_type") == kind).drop("nbr_type"), "cur").withColumn("k", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
         step = picked.join(table.where(F.col("nbr_type") == kind).select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"])
-        walks = _advance(walks, step.select("start", "walk", F.col("nbr").alias("nxt")))
+        walks = _advance(walks, step.select("start", "walk", F.col("nbr").alias("nxt")), f"the type {kind} is not exist!" if strict else None)
         if position % checkpoint_every == 0:
             walks = cut(walks)
     return _finish(walks)
