@@ -458,7 +458,7 @@ def map_functions(spark, d):
     def as_map(rows):
         return rows.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("m"))
 
-    both = as_map(e).join(as_map(e.where("weight < 2")).withColumnRenamed("m", "o"), "src")
+    both = as_map(e).join(as_map(e.where("weight % 2 = 0")).withColumnRenamed("m", "o"), "src")
     merged = scalar.map_merge(F.col("m"), F.col("o"), lambda a, b: a + b)
     return both.select("src", F.explode(merged).alias("dst", "weight"))
 

@@ -102,7 +102,7 @@ ORACLE: dict[str, str] = {
         FROM a JOIN b USING (id)""",
     "pack_attributes": _with(_TYPED) + "SELECT src, dst, src_type AS a, dst_type AS b, (-weight)::INT AS c FROM typed",
     "vector_functions": _with(_PS) + "SELECT src, sum(weight * weight)::DOUBLE AS dot, 3.0::DOUBLE * max(weight) AS axpy, -max(weight)::DOUBLE AS scale FROM ps GROUP BY 1",
-    "map_functions": _with(_EVENT) + """, l AS (SELECT src, dst, weight FROM ev), r AS (SELECT src, dst, weight FROM ev WHERE weight < 2)
+    "map_functions": _with(_EVENT) + """, l AS (SELECT src, dst, weight FROM ev), r AS (SELECT src, dst, weight FROM ev WHERE weight % 2 = 0)
         SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT * FROM l UNION ALL SELECT * FROM r) WHERE src IN (SELECT src FROM l) AND src IN (SELECT src FROM r) GROUP BY 1, 2""",
 }
 
