@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..model import EdgeDirection, PropertyGraph, directed, endpoints
-from ..plans.lineage import cut
+from ..plans.lineage import bucketed, cut
 from . import components, degrees, sampling
 from .messages import Send
 from .pregel import pregel
@@ -21,16 +21,19 @@ def pagerank(
     """(id, rank): undirected PageRank of lazy walks. Each edge carries rank / degree both ways; a vertex keeps ``reset`` of its
     rank and takes the rest from its messages, unless that would move it by less than ``freeze``. Mass is conserved but for the frozen.
 
-    One join and one aggregate a round: degrees are folded into the neighbor table, which stays partitioned by vertex.
+    One join and one aggregate a round. The neighbor table holds the shares (1 / degree) and a row from each vertex to itself, which
+    brings its own rank to the aggregate; it is bucketed by vertex once, so only messages move, after partial sums.
     """
     d = degrees.degrees(edges)
-    table = cut(directed(edges, EdgeDirection.BOTH).join(d, "id").select("id", "nbr", (1.0 / F.col("degree")).alias("share")).repartition("id"))
-    ranks = d.select("id", F.lit(float(init)).alias("rank"))
+    shares = directed(edges, EdgeDirection.BOTH).join(d, "id").select("id", "nbr", (1.0 / F.col("degree")).alias("share"))
+    own = d.select("id", F.col("id").alias("nbr"), F.lit(None).cast("double").alias("share"))
+    table = bucketed(shares.unionAll(own), "id")
+    ranks = table.where("share IS NULL").select("id", F.lit(float(init)).alias("rank"))
     for k in range(1, rounds + 1):
-        got = table.join(ranks, "id").groupBy(F.col("nbr").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("msg"))
+        got = table.join(ranks, "id").groupBy(F.col("nbr").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("msg"), F.max(F.when(F.col("share").isNull(), F.col("rank"))).alias("rank"))
         move = (1 - reset) * (F.col("msg") - F.col("rank"))
         new = F.when(F.col("msg").isNull(), reset * F.col("rank")).when(F.abs(move) < freeze, F.col("rank")).otherwise(reset * F.col("rank") + (1 - reset) * F.col("msg"))
-        ranks = ranks.join(got, "id", "left").select("id", new.alias("rank"))
+        ranks = got.select("id", new.alias("rank"))
         if k % checkpoint_every == 0 and k < rounds:
             ranks = cut(ranks)
     return ranks

@@ -1,7 +1,8 @@
 """Random walks: first order (uniform or weighted), second order, and along a path of types.
 
-A walk is (start, walk, path). Each step joins the walks' ends with the neighbor table in long form; a walk that meets a
-vertex without (suitable) neighbors ends there. Steps are seeded by start, walk and position.
+A walk is (start, walk, path). Each step joins the walks' ends with the neighbor table in long form, by place in the vertex's list where
+all neighbors are alike, so a hub costs a walk no more than a leaf; a walk that meets a vertex without (suitable) neighbors ends there.
+Steps are seeded by start, walk and position. A step reads the walks once, so plans grow by a join or two a step.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ def _starts(vertices: DataFrame, walks_per_vertex: int) -> DataFrame:
     return vertices.select(F.col("id").alias("start"), n.alias("walk"), F.array("id").alias("path"), F.col("id").alias("cur"), F.lit(None).cast("bigint").alias("prev"))
 
 
-def _advance(walks: DataFrame, step: DataFrame, or_raise: str | None = None) -> DataFrame:
-    """Walks with their next vertex (start, walk, nxt), where there is one; with ``or_raise`` a walk without one raises that."""
-    moved = walks.join(step, ["start", "walk"], "left")
+def _moved(walks: DataFrame, nxt: str = "nbr", or_raise: str | None = None) -> DataFrame:
+    """Walks that know their next vertex (null: there is none), one step on; with ``or_raise`` a stuck walk raises that."""
+    step = F.col(nxt)
     if or_raise:
-        stuck = F.col("cur").isNotNull() & F.col("nxt").isNull()
-        moved = moved.withColumn("nxt", F.when(stuck, F.raise_error(F.lit(or_raise)).cast("bigint")).otherwise(F.col("nxt")))
+        stuck = F.col("cur").isNotNull() & step.isNull()
+        step = F.when(stuck, F.raise_error(F.lit(or_raise)).cast("bigint")).otherwise(step)
     on = F.col("nxt").isNotNull()
-    return moved.select(
+    return walks.withColumn("nxt", step).select(
         "start", "walk", F.when(on, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"), F.col("nxt").alias("cur"), F.when(on, F.col("cur")).alias("prev")
     )
 
@@ -56,22 +57,25 @@ def deepwalk(
     walks = _starts(endpoints(edges), walks_per_vertex)
     for position in range(1, path_length):
         u = _u(seed, "walk", position)
-        ends = walks.where("cur IS NOT NULL").select("start", "walk", "cur", u.alias("u"))
         if weighted:
-            step = ends.join(table.withColumnRenamed("id", "cur"), "cur").where((F.col("cum") > F.col("u") * F.col("total")) & (F.col("cum") - F.col("weight") <= F.col("u") * F.col("total")) & (F.col("weight") > 0))
+            here = walks.withColumn("u", u).alias("w").join(
+                table.alias("t"), F.expr("w.cur = t.id AND t.cum > w.u * t.total AND t.cum - t.weight <= w.u * t.total AND t.weight > 0"), "left"
+            )
         else:
-            picked = ends.join(lengths, "cur").withColumn("k", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
-            step = picked.join(table.select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"])
-        walks = _advance(walks, step.select("start", "walk", F.col("nbr").alias("nxt")))
+            picked = walks.join(lengths, "cur", "left").withColumn("k", F.floor(u * F.col("n")).cast("int")).drop("n")
+            here = picked.join(table.select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"], "left")
+        walks = _moved(here)
         if position % checkpoint_every == 0:
             walks = cut(walks)
     return _finish(walks)
 
 
 def node2vec(
-    edges: DataFrame, path_length: int = DEFAULT_LENGTH, p: float = 1.0, q: float = 0.8, seed: int = 1, walks_per_vertex: int = 1, direction: EdgeDirection = EdgeDirection.BOTH, checkpoint_every: int = 3
+    edges: DataFrame, path_length: int = DEFAULT_LENGTH, p: float = 1.0, q: float = 0.8, seed: int = 1, walks_per_vertex: int = 1, direction: EdgeDirection = EdgeDirection.BOTH
 ) -> DataFrame:
-    """Second-order walks: a candidate weighs 1/p if it is where the walk came from, 1 if it is adjacent to that, else 1/q."""
+    """Second-order walks: a candidate weighs 1/p if it is where the walk came from, 1 if it is adjacent to that, else 1/q.
+
+    Candidates are all neighbors of the end, so a step reads the walks twice and is written before the next."""
     rows = cut(neighbors.plain_rows(edges, direction))
     table = rows.select(F.col("id").alias("cur"), "nbr")
     known = rows.select(F.col("id").alias("prev"), "nbr", F.lit(True).alias("near"))
@@ -84,9 +88,7 @@ def node2vec(
         weight = F.when(F.col("prev").isNull(), F.lit(1.0)).when(F.col("nbr") == F.col("prev"), F.lit(1 / p)).when(F.col("near"), F.lit(1.0)).otherwise(F.lit(1 / q))
         step = options.withColumn("w", weight).withColumn("cum", F.sum("w").over(running)).withColumn("total", F.sum("w").over(w))
         step = step.where((F.col("cum") > F.col("u") * F.col("total")) & (F.col("cum") - F.col("w") <= F.col("u") * F.col("total")))
-        walks = _advance(walks, step.select("start", "walk", F.col("nbr").alias("nxt")))
-        if position % checkpoint_every == 0:
-            walks = cut(walks)
+        walks = cut(_moved(walks.join(step.select("start", "walk", "nbr"), ["start", "walk"], "left")))
     return _finish(walks)
 
 
@@ -102,10 +104,10 @@ def metapath(
     walks = _starts(endpoints(edges), walks_per_vertex)
     for position in range(1, path_length):
         kind = meta_path[position % len(meta_path)]
-        ends = walks.where("cur IS NOT NULL").select("start", "walk", "cur", _u(seed, "metapath", position).alias("u"))
-        picked = ends.join(lengths.where(F.col("nbr_type") == kind).drop("nbr_type"), "cur").withColumn("k", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
-        step = picked.join(table.where(F.col("nbr_type") == kind).select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"])
-        walks = _advance(walks, step.select("start", "walk", F.col("nbr").alias("nxt")), f"the type {kind} is not exist!" if strict else None)
+        length = lengths.where(F.col("nbr_type") == kind).drop("nbr_type")
+        picked = walks.join(length, "cur", "left").withColumn("k", F.floor(_u(seed, "metapath", position) * F.col("n")).cast("int")).drop("n")
+        here = picked.join(table.where(F.col("nbr_type") == kind).select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"], "left")
+        walks = _moved(here, or_raise=f"the type {kind} is not exist!" if strict else None)
         if position % checkpoint_every == 0:
             walks = cut(walks)
     return _finish(walks)

@@ -47,6 +47,17 @@ def forget(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``, as many as there are shuffle partitions: joins and aggregates by the key read it
+    in place, in every round of an iteration, without another exchange."""
+    spark = df.sparkSession
+    name = f"loom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(n, key)
+    placed.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it was checked to have at most ``max_rows`` rows, else as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
