@@ -34,6 +34,7 @@ CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: What stands between records in the files; a row of the text sink starts after it.
 BORDER = "\r\n\r\nWARC/1.1\r\n"
+_BORDER = re.compile(re.escape(BORDER.encode()))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -122,13 +123,13 @@ def _block(fields: list[str], content) -> bytes:
 
 
 def _cuts(payload, chunk_bytes: int) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``chunk_bytes`` that hold no border, nor end inside one that the sink's CRLF CRLF would make."""
-    raw, a, n, border = bytes(payload), 0, len(payload), BORDER.encode()
+    """Ranges of at most ``chunk_bytes`` of a buffer that hold no border: a cut falls into each. The buffer is not copied."""
+    a, n = 0, len(payload)
     while True:
         b = min(a + chunk_bytes, n)
-        at = raw.find(border, a, b)
-        if at >= 0:
-            b = at + 5
+        found = _BORDER.search(payload, a, b)
+        if found:
+            b = found.start() + 5
         yield a, b
         if b >= n:
             return
