@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import EdgeActiveness, EdgeDirection, PropertyGraph, endpoints
-from ..operators import algorithms, degrees, messages, neighbors, partitioning, sampling, transform, vertex_state, walks
+from ..operators import algorithms, degrees, messages, neighbors, partitioning, sampling, sets, transform, vertex_state, walks
 from ..operators.messages import Send
 from ..sources import loaders, sinks, tables
 from .lineage import shared_dir
@@ -463,6 +463,36 @@ def map_functions(spark, d):
     return both.select("src", F.explode(merged).alias("dst", "weight"))
 
 
+def _id_sets(spark, d):
+    v = _ps(spark, d).vertices
+    return v.where("id % 3 = 0"), v.where("id % 2 = 0")
+
+
+@query
+def id_union(spark, d):
+    return sets.union_ids(*_id_sets(spark, d))
+
+
+@query
+def id_intersection(spark, d):
+    return sets.intersect_ids(*_id_sets(spark, d))
+
+
+@query
+def id_difference(spark, d):
+    return sets.except_ids(*_id_sets(spark, d))
+
+
+@query
+def id_symmetric_difference(spark, d):
+    return sets.symmetric_difference_ids(*_id_sets(spark, d))
+
+
+@query
+def top_edges_by_vertex(spark, d):
+    return sets.top_k(tables.part_supplier(spark, d), "src", 2, F.col("weight").desc(), F.col("dst"))
+
+
 # iteration and algorithms ----------------------------------------------------------------------------------------
 
 

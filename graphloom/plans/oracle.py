@@ -106,6 +106,10 @@ ORACLE: dict[str, str] = {
         SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT * FROM l UNION ALL SELECT * FROM r) WHERE src IN (SELECT src FROM l) AND src IN (SELECT src FROM r) GROUP BY 1, 2""",
 }
 
+for _name, _condition in (("id_union", "id % 3 = 0 OR id % 2 = 0"), ("id_intersection", "id % 6 = 0"), ("id_difference", "id % 3 = 0 AND id % 2 <> 0"), ("id_symmetric_difference", "(id % 3 = 0) <> (id % 2 = 0)")):
+    ORACLE[_name] = _with(_PS) + f"SELECT id FROM {_ends('ps')} WHERE {_condition}"
+ORACLE["top_edges_by_vertex"] = _with(_PS) + "SELECT src, dst, weight FROM ps QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2"
+
 for _name, _rows in (
     ("neighbors_out", "SELECT DISTINCT src AS id, dst AS nbr FROM multi"),
     ("neighbors_in", "SELECT DISTINCT dst AS id, src AS nbr FROM multi"),

@@ -336,3 +336,13 @@ def test_scalar_functions(spark):
     left = F.array(F.struct(F.lit(1).alias("nbr"), F.lit(0.5).alias("w")))
     right = F.array(F.struct(F.lit(1).alias("nbr"), F.lit(9.0).alias("w")), F.struct(F.lit(0).alias("nbr"), F.lit(2.0).alias("w")))
     assert [tuple(x) for x in value(scalar.merge_weighted(left, right))] == [(0, 2.0), (1, 0.5)]
+
+
+def test_sets_and_folds(spark):
+    from graphloom.operators import sets
+
+    a, b = (spark.createDataFrame([(i,) for i in x], "id long") for x in ([1, 2, 2, 3], [3, 4]))
+    assert [rows(f(a, b)) for f in (sets.union_ids, sets.intersect_ids, sets.except_ids, sets.symmetric_difference_ids)] == [[(1,), (2,), (3,), (4,)], [(3,)], [(1,), (2,)], [(1,), (2,), (4,)]]
+    assert sets.all_true(a.withColumn("x", F.col("id") > 0), "x").first()[0] and sets.all_true(a.where("false").withColumn("x", F.lit(False)), "x").first()[0]
+    assert sets.fold([1, 2, 3], lambda x, y: x - y) == -4 and sets.fold([], max) is None
+    sets.for_each_partition(a, lambda r: list(r))
