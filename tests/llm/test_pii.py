@@ -93,3 +93,8 @@ def test_reliable_labelers_win():
     p = pii.train(counts)
     assert p["secret|21211|5|dl"] > 0.5 > p["secret|20200|5|dl"]
     assert pii.train({}) == {}
+
+
+def test_plain_numbers_are_no_secrets():
+    assert pii.candidates("the sum 2123465659789240 was paid") == ([], [])
+    assert [s[2] for s in pii.candidates("key=2123465659789240")[1]] == ["secret"]
