@@ -3,10 +3,12 @@
 Documents with equal shingle sets form classes, of which one representative goes on. Each independent tree branches a
 representative by the minwise tokens at a few randomly selected signature positions (1/threshold of them are expected
 at a node); those with the same token share a child. Nodes of one member end; nodes of at most ``small`` members are
-compared exhaustively; larger ones branch again, and what is still large at the last level is compared in blocks, each
-pair of blocks being a group of its own, so no group is unbounded and no pair is left out. Nodes with the same members, in
+compared exhaustively; larger ones branch again. A large node whose members are mostly alike would not shrink by branching: it is
+compared at once, as is what is still large at the last level, in blocks, each pair of blocks being a group of its own, so no group is
+unbounded and no pair is left out. Nodes with the same members, in
 whatever tree, are compared once. Comparing signatures only proposes clusters; links are confirmed on full shingle sets,
-where members that are already connected need no further comparison. Clusters and links are spanning edges, at most one
+where postings of the members' shingles give all
+intersections of a member at once and members that are already connected need none. Clusters and links are spanning edges, at most one
 per member, never all pairs.
 
 A pair at the threshold t stays together in a tree of depth d with probability of at least t^d, so ``trees`` = 12 misses one
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, components, gram_hashes, lower_words, mix, stored
 
 POSITIONS = 64
+#: Signature positions whose lowest bits tell how alike a node's members are.
+PROBES = 8
 _RNG = np.random.default_rng(7)
 _MULTIPLY = (_RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -73,7 +77,7 @@ def _branch(node, positions):
     return F.explode(F.transform(positions, lambda p: F.xxhash64(node, p, F.get("sig", p)))).alias("node")
 
 
-def nodes_of(reps: DataFrame, threshold: float, trees: int, small: int, depth: int, block: int) -> DataFrame:
+def nodes_of(reps: DataFrame, threshold: float, trees: int, small: int, depth: int, block: int, dense: float = 0.3) -> DataFrame:
     """(node, rep): groups to compare, each of bounded size, of representatives (rep, sig)."""
     rng = np.random.default_rng(11)
     roots = []
@@ -82,27 +86,37 @@ def nodes_of(reps: DataFrame, threshold: float, trees: int, small: int, depth: i
         for p in chosen if len(chosen) else [int(rng.integers(POSITIONS))]:
             roots.append((tree, int(p)))
     first = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.get("sig", F.lit(p))) for t, p in roots])).alias("node")
-    frontier = reps.select(first, "rep")
+    one = lambda p: F.get("sig", F.lit(p)).bitwiseAND(F.lit(1))
+    bits = sum((F.shiftleft(one(7 * k), k) for k in range(1, PROBES)), one(0)).alias("bits")
+    frontier = reps.select(first, "rep", bits)
     found = []
     chance = int((1 << 20) / (threshold * POSITIONS))
+    # where most members share a value, its lowest bit is far from even: squared, the share of that value
+    lean = sum(((2 * F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1))) / F.count(F.lit(1)) - 1) ** 2 for k in range(PROBES)), F.lit(0.0)) / PROBES
     for level in range(depth):
-        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum((F.xxhash64("rep") / 2).cast("long").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")).where("members > 1")
-        once = sizes.groupBy("members", "a", "b").agg(F.min("node").alias("node")).select("node", "members")
-        live = stored(frontier.join(once, "node"), "nodes")
+        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum((F.xxhash64("rep") / 2).cast("long").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b"), lean.alias("lean")).where("members > 1")
+        once = sizes.groupBy("members", "a", "b").agg(F.min("node").alias("node"), F.min("lean").alias("lean")).select("node", "members", "lean")
+        live = stored(frontier.select("node", "rep").join(once, "node"), "nodes")
         found.append(live.where(F.col("members") <= small).select("node", "rep"))
         large = live.where(F.col("members") > small)
-        if not large.limit(1).count():
-            return _union(found)
-        if level + 1 < depth:
-            drawn = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("parent", p), F.lit(1 << 20)) < chance)
-            some = F.when(F.size(drawn) > 0, drawn).otherwise(F.array(F.pmod(F.xxhash64("parent", F.lit(-1)), F.lit(POSITIONS)).cast("int")))
-            frontier = large.select(F.col("node").alias("parent"), "rep").join(reps, "rep").select(_branch(F.col("parent"), some), "rep")
+        final = level + 1 == depth
+        found.append(_in_blocks(large if final else large.where(F.col("lean") >= dense), block))
+        large = large.where(F.col("lean") < dense)
+        if final or not large.limit(1).count():
+            break
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("parent", p), F.lit(1 << 20)) < chance)
+        some = F.when(F.size(drawn) > 0, drawn).otherwise(F.array(F.pmod(F.xxhash64("parent", F.lit(-1)), F.lit(POSITIONS)).cast("int")))
+        frontier = large.select(F.col("node").alias("parent"), "rep").join(reps, "rep").select(_branch(F.col("parent"), some), "rep", bits)
+    return _union(found)
+
+
+def _in_blocks(large: DataFrame, block: int) -> DataFrame:
+    """Each pair of blocks of a node's members as a node of its own."""
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
-    paired = large.withColumn("blocks", blocks).withColumn("mine", mine).select(
+    return large.withColumn("blocks", blocks).withColumn("mine", mine).select(
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("node", F.least(o, F.col("mine")), F.greatest(o, F.col("mine")), F.lit(3)))).alias("node"), "rep"
     )
-    return _union([*found, paired])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -176,12 +190,30 @@ def gathered(clusters: DataFrame, most: int) -> DataFrame:
     return one.unionAll(rest)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two sorted arrays of distinct values share."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+def spanning_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between sets (sorted arrays of distinct hashes) that connect what any links connect, at most one less than there are sets.
+
+    Postings of the hashes give a set's intersections with all others at once; sets whose component holds all others are skipped.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(inverse, minlength=len(values))
+    start = np.cumsum(count) - count
+    posting = np.repeat(np.arange(m), size)[np.argsort(inverse, kind="stable")]
+    root = np.arange(m)
+    for i in range(m):
+        if (root == root[i]).all():
+            return
+        own = inverse[ends[i] - size[i] : ends[i]]
+        n = count[own]
+        stop = np.cumsum(n)
+        shared = np.bincount(posting[np.repeat(start[own] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], minlength=m)
+        near = np.flatnonzero((100 * shared >= percent * (size[i] + size - shared)) & (root != root[i]))
+        for r in np.unique(root[near]):
+            yield i, int(near[root[near] == r][0])
+        root[np.isin(root, root[near])] = root[i]
 
 
 def confirm(clusters: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -192,24 +224,8 @@ def confirm(clusters: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         out: list[tuple[int, int]] = []
         for _, rows in _grouped(batches, 0):
             ids = [r[0].as_py() for r in rows]
-            own = [np.frombuffer(r[1].as_buffer(), np.uint64) for r in rows]
-            parts: list[list[int]] = []
-            for i in range(len(ids)):
-                joined: list[int] = []
-                rest = []
-                for part in parts:
-                    for j in part:
-                        small, large = sorted((len(own[i]), len(own[j])))
-                        if 100 * small < percent * large:
-                            continue
-                        both = _common(own[i], own[j])
-                        if 100 * both >= percent * (small + large - both):
-                            out.append((ids[i], ids[j]))
-                            joined += part
-                            break
-                    else:
-                        rest.append(part)
-                parts = [*rest, [*joined, i]]
+            links = spanning_links([np.frombuffer(r[1].as_buffer(), np.uint64) for r in rows], percent)
+            out += [(ids[i], ids[j]) for i, j in links]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
                 out = []
@@ -238,7 +254,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 12, small: int = 64, depth: int = 3, block: int = 1024, slack: float = 0.2
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 12, small: int = 64, depth: int = 3, block: int = 4096, slack: float = 0.2
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -78,4 +78,18 @@ def test_signatures_estimate_similarity():
     a, b = (chosen_path.shingle_set(t, 3, hashes) for t in (prose(1, 5000), edited(prose(1, 5000), 2, 150)))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((chosen_path.signature(a) == chosen_path.signature(b)).mean() - true) < 0.2
-    assert chosen_path._common(a, b) == len(np.intersect1d(a, b))
+
+
+def test_spanning_links_connect_what_links_connect():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(10_000, 60, replace=False)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1]), rng.integers(0, 10_000, 60).astype(np.uint64), base)) for _ in range(80)]
+    whole, found = Forest(80), Forest(80)
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                whole.join(i, j)
+    links = list(chosen_path.spanning_links(sets, 80))
+    assert all(found.join(i, j) for i, j in links)
+    assert [found.find(k) for k in range(80)] == [whole.find(k) for k in range(80)]
