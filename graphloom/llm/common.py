@@ -44,6 +44,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (the well-known splitmix constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -54,14 +57,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words, in order; with fewer words, of the whole run as one; without words, none."""
+    """Hashes of all runs of ``n`` words, in order; with fewer words, of the whole run as one; without words, none.
+
+    Hashes of runs of 1, 2, 4, ... words are made from each other, and those that add up to ``n`` are chained.
+    """
     if len(hashes) == 0:
         return hashes
     n = min(n, len(hashes))
-    out = np.full(len(hashes) - n + 1, np.uint64(n), dtype=np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
-    return out
+    starts = len(hashes) - n + 1
+    out, done, span, runs = None, 0, 1, mix(hashes + _ODD)
+    while True:
+        if n & span:
+            part = runs[done : done + starts]
+            out = part if out is None else mix(out * _ODD + part)
+            done += span
+        if 2 * span > n:
+            return out
+        runs = mix(runs[:-span] * _ODD + runs[span:])
+        span *= 2
 
 
 class Forest:

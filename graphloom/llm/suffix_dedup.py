@@ -37,8 +37,16 @@ def minimisers(hashes: np.ndarray, gram: int, window: int) -> np.ndarray:
     g = gram_hashes(hashes, gram)
     if len(g) < window:
         return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(g, window)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    # places in the low bits, so that minima tell where they are and the leftmost of equal hashes wins; 30 bits for any text
+    # that a row can hold
+    low = np.uint64((1 << 30) - 1)
+    least = (g & ~low) | np.arange(len(g), dtype=np.uint64)
+    span = 1
+    while span < window:
+        step = min(span, window - span)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        span += step
+    return np.unique(least & low).astype(np.int64)
 
 
 def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:

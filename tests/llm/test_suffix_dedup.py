@@ -56,3 +56,28 @@ def test_odd_documents(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert found(suffix_dedup.repeated_passages(odd_docs)) == brute(rows, 50)
     assert suffix_dedup.repeated_passages(no_docs).count() == 0
+
+
+def test_minimisers_depend_on_content_only():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (3, 22, 23, 24, 500):
+        h = rng.integers(0, 30, n).astype(np.uint64)
+        g = suffix_dedup.gram_hashes(h, 8)
+        got = set(suffix_dedup.minimisers(h, 8, 16).tolist())
+        low = (1 << 30) - 1
+        key = [(int(x) & ~low, k) for k, x in enumerate(g)]
+        assert got == {min(key[k : k + 16])[1] for k in range(len(g) - 15)}
+
+
+def test_gram_hashes_tell_runs_apart():
+    import numpy as np
+
+    h = np.random.default_rng(2).integers(0, 4, 3000).astype(np.uint64)
+    for n in (1, 2, 3, 5, 8, 35, 50):
+        runs = {}
+        for k, x in enumerate(suffix_dedup.gram_hashes(h, n).tolist()):
+            assert runs.setdefault(x, tuple(h[k : k + n].tolist())) == tuple(h[k : k + n].tolist())
+        assert len(runs) == len({tuple(h[k : k + n].tolist()) for k in range(len(h) - n + 1)})
+    assert len(suffix_dedup.gram_hashes(h[:2], 5)) == 1 and len(suffix_dedup.gram_hashes(h[:0], 5)) == 0
