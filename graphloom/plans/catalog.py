@@ -548,7 +548,7 @@ def deepwalk_weighted(spark, d):
 
 @query
 def node2vec(spark, d):
-    return _text(walks.node2vec(tables.typed(spark, d).where("src_type <> 3").select("src", "dst"), WALK_LENGTH, 0.5, 0.8, SEED))
+    return _text(walks.node2vec(tables.typed(spark, d).select("src", "dst"), WALK_LENGTH, 0.5, 0.8, SEED))
 
 
 @query
