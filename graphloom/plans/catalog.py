@@ -353,7 +353,7 @@ def has_neighbor_pairs(spark, d):
 @query
 def common_neighbors(spark, d):
     e = tables.copurchased(spark, d)
-    return neighbors.common_neighbors(e, e.where("src % 5 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return neighbors.common_neighbors(e, e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 # sampling --------------------------------------------------------------------------------------------------------

@@ -64,3 +64,10 @@ def test_node2vec_walks_the_whole_graph(spark, small):
         want[start, 0] = " ".join(map(str, path))
     got = {(r["start"], r["walk"]): r["path"] for r in catalog.node2vec(spark, small).collect()}
     assert got == want and sum(s % 8 == 3 for s, _ in got) == len(ORDERS)
+
+
+def test_common_neighbors_answers_every_edge(spark, small):
+    edges = copurchased()
+    near = both_ways(edges)
+    got = sorted(tuple(r) for r in catalog.common_neighbors(spark, small).select("a", "b", "common").collect())
+    assert got == [(a, b, len(near[a] & near[b])) for a, b in edges]
