@@ -23,6 +23,8 @@ IN, OUT, BOTH = EdgeDirection.IN, EdgeDirection.OUT, EdgeDirection.BOTH
 SEED = 7
 ROUNDS = 5
 WALK_LENGTH = 5
+#: Rounds of an iteration that ends by itself.
+UNBOUNDED = (1 << 31) - 2
 
 
 def query(f: Query) -> Query:
@@ -514,7 +516,7 @@ def pregel_min_label(spark, d):
 @query
 def pregel_sssp(spark, d):
     g = PropertyGraph.from_edges(tables.copurchased(spark, d))
-    return algorithms.shortest_paths(g, 10, 3)
+    return algorithms.shortest_paths(g, 10, UNBOUNDED)
 
 
 @query

@@ -71,3 +71,13 @@ def test_common_neighbors_answers_every_edge(spark, small):
     near = both_ways(edges)
     got = sorted(tuple(r) for r in catalog.common_neighbors(spark, small).select("a", "b", "common").collect())
     assert got == [(a, b, len(near[a] & near[b])) for a, b in edges]
+
+
+def test_pregel_sssp_reaches_far_vertices(spark, small):
+    edges = copurchased()
+    want = dict.fromkeys(both_ways(edges)) | {10: 0.0}
+    now = [10]
+    while now:
+        now = [b for a in now for s, b in edges if s == a and want[b] is None and want.update({b: want[a] + 1}) is None]
+    got = {r["id"]: r["distance"] for r in catalog.pregel_sssp(spark, small).collect()}
+    assert got == want and want[82] == 8.0 and want[90] is None
