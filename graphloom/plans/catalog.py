@@ -521,7 +521,7 @@ def pregel_sssp(spark, d):
 
 @query
 def connected_components(spark, d):
-    return algorithms.connected_components(tables.typed(spark, d).where("src_type <> 4").select("src", "dst"))
+    return algorithms.connected_components(tables.typed(spark, d).select("src", "dst"))
 
 
 @query

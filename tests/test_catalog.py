@@ -81,3 +81,17 @@ def test_pregel_sssp_reaches_far_vertices(spark, small):
         now = [b for a in now for s, b in edges if s == a and want[b] is None and want.update({b: want[a] + 1}) is None]
     got = {r["id"]: r["distance"] for r in catalog.pregel_sssp(spark, small).collect()}
     assert got == want and want[82] == 8.0 and want[90] is None
+
+
+def test_connected_components_cover_the_whole_graph(spark, small):
+    near = both_ways(typed())
+    want = {}
+    for root in sorted(near):
+        now = [] if root in want else [root]
+        while now:
+            x = now.pop()
+            if x not in want:
+                want[x] = root
+                now += near[x]
+    got = {r["id"]: r["component"] for r in catalog.connected_components(spark, small).collect()}
+    assert got == want and len(set(want.values())) == 2
