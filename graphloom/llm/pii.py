@@ -39,7 +39,7 @@ _LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?[(\[]at[)\]][ ]?[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]?[(\[]dot[)\]][ ]?)[A-Za-z0-9-]{1,63}){1,5}"), "at"),
     ("phone", re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), None),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), None),
-    ("secret", re.compile(r"(?:(?<=[=:\"'])|(?<= )(?=[0-9]{0,64}[A-Za-z]))(?=[A-Za-z]{0,64}[0-9])[A-Za-z0-9_/+-]{12,128}(?![A-Za-z0-9_/+-])"), None),
+    ("secret", re.compile(r"(?:(?<=[=:\"'])|(?<= )(?=[0-9]*+[A-Za-z]))(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+"), None),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
 )
 

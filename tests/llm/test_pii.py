@@ -98,3 +98,14 @@ def test_reliable_labelers_win():
 def test_plain_numbers_are_no_secrets():
     assert pii.candidates("the sum 2123465659789240 was paid") == ([], [])
     assert [s[2] for s in pii.candidates("key=2123465659789240")[1]] == ["secret"]
+
+
+def test_secrets_of_any_length_and_with_signs_before_the_first_digit_are_candidates():
+    pattern = [p for kind, p, _ in pii._LOOSE if kind == "secret"][-1]
+    for secret in ("ghp_16C7e42F292c6912E7", "sk_live_4eC39HqLyjWDarjtT1", "a1B2" * 40, "x" * 80 + "7"):
+        for text in (f'token="{secret}"', f"api_key={secret}", f"the key {secret} is here"):
+            assert [m.group() for m in pattern.finditer(text)] == [secret]
+    began = time.time()
+    for run in ("a" * 1_000_000, "_-" * 500_000, "1" * 1_000_000, "a1" * 500_000, ' "=' * 300_000):
+        list(pattern.finditer(" " + run))
+    assert time.time() - began < 5
