@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables that are not yet deleted, by application.
+_scratch: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests, local mode)."""
+    """The folder that driver and executors share; one of our own only where none is configured and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -27,14 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: compact, and read by columns.
 
-    It is written by at most two tasks for each core: many shuffle partitions would leave many tiny files.
+    It has a file for each task that made it: input splits, or shuffle partitions as adaptive execution joined them by size. The
+    table is deleted when the session's Python process ends, or before by ``forget``.
     """
     spark = df.sparkSession
-    df = df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
@@ -43,19 +52,47 @@ def forget(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_stored_at", None)
         if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _scratch.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application that are left; results that still read them can then not be computed again."""
+    for path in list(_scratch.get(spark.sparkContext.applicationId, ())):
+        delete(spark, path)
+
+
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be closing; what is left is scratch only
+            sweep(spark)
+
+
+atexit.register(_sweep_at_exit)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` written once in buckets of ``key``, as many as there are shuffle partitions: joins and aggregates by the key read it
-    in place, in every round of an iteration, without another exchange."""
+    in place, in every round of an iteration, without another exchange. The catalog keeps no entry of it; the files are scratch."""
     spark = df.sparkSession
     name = f"loom_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}"
     placed = df.repartition(n, key)
-    placed.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
-    return spark.table(name)
+    placed.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now: the plan keeps what it needs of the catalog's entry
+    spark.sql(f"DROP TABLE {name}")
+    out._stored_at = path
+    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
