@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -72,4 +73,5 @@ def test_entry_works_without_the_pipeline(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and 'pipeline' not in e.queries()"
     (tmp_path / "graphloom").symlink_to(ROOT / "graphloom")
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # which may hold the folder of the real pipeline
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
