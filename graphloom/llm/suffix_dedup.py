@@ -1,21 +1,28 @@
 """Repeated passages across documents by a sparse suffix array.
 
 Suffixes are kept only at minimiser positions: of each ``window`` neighbouring ``gram``-word hashes the smallest one's place,
-which the words alone select, so equal passages keep equal suffixes. A passage of at least ``least`` words holds
-the whole first window of such hashes, and so a kept position from which at least ``least - window + 1`` equal words follow. The
-suffixes are therefore ordered by the hash of a prefix of that length, which brings all that share it together; neighbours
-from different texts are retained. Each retained suffix is then extended to the left and right: it stands for the
-``window`` runs of ``least`` words around it, which are ordered and compared with their neighbours again. A run that another
-text has too is repeated; overlapping repeated runs of a text merge to its longest passages. Every passage of at least
-``least`` words that occurs in two texts is found in both, to the word.
-
-Texts that are equal as a whole are one text throughout, and each copy is a repeated passage from its first to its last word.
-Neighbours are compared through partial aggregates (smallest and largest text id of a prefix), so that a passage in a
-third of all documents never meets in one task.
-
-Defined results: null, empty and shorter texts have no passages; a passage that only repeats within one text is not one; rows with
-a null id are left out; repeated rows (equal id and text) are one document, and an id with several texts has the passages of each; an empty table gives no rows;
-other columns are ignored. Words are compared with A-Z lower-cased.
+which the words alone select, so equal passages keep equal suffixes. A passage of at least ``least`` words that starts at q holds the
+whole first window of such hashes, and so a kept suffix at some p from q to q + window - 1, from which at least ``least`` - window + 1 equal
+words follow.
+
+1. *Retain.* Suffixes whose prefix of that length occurs in one text only cannot matter. They are dropped by a fingerprint of the
+   prefix and partial aggregates (smallest and largest text of a fingerprint); equal words have equal fingerprints, so nothing is lost.
+2. *Sort.* Each retained suffix becomes a row of ``least`` words to its right and window - 1 to its left. The rows are range-partitioned and sorted
+   by these words: the suffix array. A frequent passage is cut into many ranges like any other.
+3. *Compare and extend.* A task reads its range in order and compares neighbours word by word. Suffixes that share the whole prefix stand together; among them the
+   common words to the right (from the order) and to the left (by classes of equal left words) tell each run of ``least`` words around a suffix
+   that another document has too. All pairs of a left and a right length that add up to ``least`` are tried, since the neighbour with
+   the longest match to the right need not be the one that completes ``least`` words.
+4. *Borders.* The first and last group of suffixes of a range may go on in the next one, and a group of more than ``most_held`` is not held in memory: their
+   runs are compared by 128-bit fingerprints of their words and partial aggregates instead.
+5. Overlapping runs of a text merge to its longest passages. Every passage of at least ``least`` words that occurs in two documents is found in both, to the word.
+
+Texts that are equal as a whole are one text throughout, and each copy is a repeated passage from its first to its last word. Joins by a
+fingerprint take its frequent values apart (at most ``MOST_HOT`` of them, broadcast), so no task gets all rows of one.
+
+Defined results: null, empty and shorter texts have no passages; a passage that only repeats within one document is not one; rows with
+a null id are left out; repeated rows (equal id and text) are one document, and an id with several texts has the passages of each, none for what only
+its own texts share; an empty table gives no rows; other columns are ignored. Words are compared with A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -24,12 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, forget, gram_hashes, lower_words, stored
 
 SCHEMA = "doc_id long, start_word long, n_words long, start long, end long, first_doc_id long"
+CONTEXT = "right binary, left binary, name long, at int, start long, gaps binary, low long, high long, n int, end long"
+FOUND = "ka long, kb long, name long, low long, high long, at long, n long, start long, end long, first_doc_id long"
+#: Values of a join key that are taken apart as frequent, at most.
+MOST_HOT = 10_000
 
 
 def minimisers(hashes: np.ndarray, gram: int, window: int) -> np.ndarray:
@@ -81,80 +93,212 @@ def suffixes(texts: DataFrame, prefix: int, gram: int, window: int) -> DataFrame
     return texts.select("name", "text").mapInArrow(task, "key long, name long, at int")
 
 
-def extended(texts: DataFrame, least: int, window: int) -> DataFrame:
-    """The runs of ``least`` words around retained suffixes of ``texts`` (doc_id, text, places, copied): (key, doc_id, at, n, start,
-    end); a copied text also gives one row without key for the whole of it."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+def shared_rows(rows: DataFrame, key: list[str], low: str, high: str, hot_rows: int = 50_000) -> DataFrame:
+    """The stored ``rows`` whose key has different values of ``low`` and ``high``, with the smallest ``low`` as ``first``.
+
+    Keys of more than ``hot_rows`` rows (and more than a ``MOST_HOT``-th of all) are met by a broadcast, others by a shuffled join.
+    """
+    sums = rows.groupBy(*key).agg(F.min(low).alias("first"), F.max(high).alias("last"), F.count(F.lit(1)).alias("members"))
+    shared = stored(sums.where(F.col("first") < F.col("last")).drop("last"), "shared")
+    limit = max(hot_rows, rows.count() // MOST_HOT)
+    hot = shared.where(F.col("members") > limit).drop("members")
+    cold = shared.where(F.col("members") <= limit).drop("members")
+    if not hot.limit(1).count():
+        return rows.join(cold.hint("merge"), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))
+
+
+def contexts(texts: DataFrame, least: int, window: int) -> DataFrame:
+    """The words around retained suffixes of ``texts`` (name, low, high, copied, places, text): a row for each, and for a copied text
+    one without words for the whole of it."""
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in CONTEXT.split(", "))])
+    before = window - 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        rows: list[tuple] = []
         for batch in batches:
-            for doc, value, places, copied in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                text = value.as_py() or ""
-                h = hashes.of(lower_words(text))
-                if len(h) < least:
+            for name, low, high, copied, places, value in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                text = value.as_py()
+                words = lower_words(text)
+                if len(words) < least:
                     continue
                 starts, ends = _word_bounds(text)
                 if copied:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, doc, 0, len(h), int(starts[0]), int(ends[-1])), schema, strict=True)], schema=schema)
-                if places.as_py():
-                    at = np.array(places.as_py(), np.int64)
-                    at = np.unique((at[:, None] - np.arange(window)).ravel())
-                    at = at[(at >= 0) & (at + least <= len(h))]
-                    if len(at):
-                        cols = (gram_hashes(h, least)[at].view(np.int64), np.full(len(at), doc), at, np.full(len(at), least), starts[at], ends[at + least - 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    rows.append((None, None, name, 0, int(starts[0]), None, low, high, len(words), int(ends[-1])))
+                blank = starts[1:] - ends[:-1]
+                for p in places or ():
+                    a, b = max(0, p - before), min(len(words), p + least)
+                    gaps = blank[a : b - 1]
+                    packed = gaps.astype(np.uint8 if gaps.max() < 256 else np.uint32).tobytes()
+                    rows.append((b" ".join(words[p:b]) + b" ", b" ".join(words[a:p][::-1]), name, p, int(starts[p]), packed, low, high, b - p, 0))
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.select("name", "low", "high", "copied", "places", "text").mapInArrow(task, CONTEXT)
+
+
+class Suffix:
+    """A row of the suffix array: its words to the right and, from the nearest on, to the left."""
+
+    __slots__ = ("right", "left", "name", "at", "start", "gaps", "low", "high")
+
+    def __init__(self, right: bytes, left: bytes, name: int, at: int, start: int, gaps: bytes, low: int, high: int):
+        self.right, self.left = right[:-1].split(b" "), left.split(b" ") if left else []
+        self.name, self.at, self.start, self.gaps, self.low, self.high = name, at, start, gaps, low, high
+
+    def bounds(self, before: int, after: int) -> tuple[int, int]:
+        """Code points at which the word ``before`` places to the left starts, and the last of ``after`` words to the right ends."""
+        n = len(self.left)
+        gaps = np.frombuffer(self.gaps, np.uint8 if len(self.gaps) < n + len(self.right) else np.uint32).astype(np.int64)
+        start = self.start - sum(map(_length, self.left[:before])) - int(gaps[n - before : n].sum())
+        return start, self.start + sum(map(_length, self.right[:after])) + int(gaps[n : n + after - 1].sum())
+
+
+def _length(word: bytes) -> int:
+    return len(word) if word.isascii() else len(word.decode("utf-8", "surrogatepass"))
 
-    return texts.select("doc_id", "text", "places", "copied").mapInArrow(task, "key long, doc_id long, at int, n int, start int, end int")
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 10)], [x.split()[0] for x in FOUND.split(", ")])
+
+
+def compared(group: list[Suffix], least: int, window: int) -> Iterator[tuple]:
+    """Rows of FOUND for whole groups of suffixes in their order: the longest stretch around each that runs of other documents cover."""
+    m, before, prefix = len(group), window - 1, least - window + 1
+    numbers: dict[bytes, int] = {}
+    number = lambda w: numbers.setdefault(w, len(numbers))
+    right, left = np.full((m, least), -1, np.int64), np.full((m, before), -1, np.int64)
+    for i, s in enumerate(group):
+        right[i, : len(s.right)] = [number(w) for w in s.right]
+        left[i, : len(s.left)] = [number(w) for w in s.left]
+    common = np.zeros(m, np.int64)
+    common[1:] = np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1)
+    has_right, has_left = np.array([len(s.right) for s in group]), np.array([len(s.left) for s in group])
+    low, high = np.array([s.low for s in group]), np.array([s.high for s in group])
+    farthest, nearest, first = np.full(m, -1), np.full(m, window), np.full(m, np.iinfo(np.int64).max)
+    same_left = np.zeros(m, np.int64)
+    for back in range(window):
+        if back:
+            same_left = np.unique(same_left * (len(numbers) + 1) + left[:, back - 1] + 1, return_inverse=True)[1]
+        ahead = least - back
+        key = np.cumsum(common < ahead) * m + same_left
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        sizes = np.diff(np.append(heads, m))
+        lowest, highest = np.empty(m, np.int64), np.empty(m, np.int64)
+        lowest[order] = np.repeat(np.minimum.reduceat(low[order], heads), sizes)
+        highest[order] = np.repeat(np.maximum.reduceat(high[order], heads), sizes)
+        hit = (lowest < highest) & (has_right >= ahead) & (has_left >= back)
+        farthest[hit] = back
+        nearest[hit] = np.minimum(nearest[hit], back)
+        first[hit] = np.minimum(first[hit], lowest[hit])
+    for i in np.flatnonzero(farthest >= 0):
+        s, back, ahead = group[i], int(farthest[i]), least - int(nearest[i])
+        start, end = s.bounds(back, ahead)
+        yield None, None, s.name, s.low, s.high, s.at - back, back + ahead, start, end, int(first[i])
+
+
+def runs_of(s: Suffix, least: int, window: int) -> Iterator[tuple]:
+    """Rows of FOUND, with fingerprints of their words, for all runs of ``least`` words around a suffix."""
+    for back in range(min(window - 1, len(s.left)) + 1):
+        if len(s.right) >= least - back:
+            h = xxhash.xxh128_intdigest(b" ".join(s.left[:back][::-1] + s.right[: least - back]))
+            ka, kb = ((x ^ (1 << 63)) - (1 << 63) for x in (h >> 64, h & ((1 << 64) - 1)))
+            yield ka, kb, s.name, s.low, s.high, s.at - back, least, *s.bounds(back, least - back), None
+
+
+def neighbours(sorted_contexts: DataFrame, least: int, window: int, most_held: int) -> DataFrame:
+    """Rows of FOUND from sorted rows of CONTEXT: stretches that repeat, and runs of groups that a border may cut (with a key)."""
+    prefix = least - window + 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[Suffix] = []
+        group: list[Suffix] = []
+        words, loose, out = None, True, []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                s = Suffix(*row)
+                if s.right[:prefix] != words:
+                    if words is not None and not loose:
+                        done += group
+                        group = []
+                    loose = words is None  # the first group of the range may have begun in the one before
+                    words = s.right[:prefix]
+                if loose:
+                    out += runs_of(s, least, window)
+                else:
+                    group.append(s)
+                    if len(group) > most_held:
+                        for s in group:
+                            out += runs_of(s, least, window)
+                        group, loose = [], True
+                if len(done) >= 20_000:
+                    out += compared(done, least, window)
+                    done = []
+                if len(out) >= 20_000:
+                    yield _found(out)
+                    out = []
+        out += compared(done, least, window) if done else []
+        for s in group:  # the last group may go on in the next range
+            out += runs_of(s, least, window)
+        yield _found(out)
+
+    return sorted_contexts.mapInArrow(task, FOUND)
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Overlapping runs (doc_id, at, n, start, end, first_doc_id) of a document become its longest passages."""
+    """Overlapping stretches (name, at, n, start, end, first_doc_id, low, copied) of a text become its longest passages."""
+    names = ["name", "low", "copied", "at", "n", "start", "end", "first_doc_id"]
+    schema = "name long, low long, copied boolean, at long, n long, start long, end long, first_doc_id long"
+    types = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             out: list[list] = []
-            for doc, at, n, start, end, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now and now[0] == doc and at <= now[2]:
-                    now[2] = max(now[2], at + n)
-                    now[4] = max(now[4], end)
-                    now[5] = min(now[5], first)
+            for name, low, copied, at, n, start, end, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now and now[:2] == [name, low] and at <= now[3] + now[4]:
+                    now[4] = max(now[4], at + n - now[3])
+                    now[6] = max(now[6], end)
+                    now[7] = min(now[7], first)
                 else:
                     if now:
                         out.append(now)
-                    now = [doc, at, at + n, start, end, first]
+                    now = [name, low, copied, at, n, start, end, first]
             if out:
-                yield _rows(out, names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         if now:
-            yield _rows([now], names)
-
-    ordered = runs.select("doc_id", "at", "n", "start", "end", "first_doc_id").repartition("doc_id").sortWithinPartitions("doc_id", "at")
-    return ordered.mapInArrow(task, SCHEMA)
-
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(now, types, strict=True)], names)
 
-def _rows(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    doc, a, b, start, end, first = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, a, [y - x for x, y in zip(a, b, strict=True)], start, end, first)], names)
+    ordered = runs.select(*names).repartition("name", "low").sortWithinPartitions("name", "low", "at")
+    return ordered.mapInArrow(task, schema)
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8, window: int = 16) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8, window: int = 16, most_held: int = 100_000) -> DataFrame:
     """(doc_id, start_word, n_words, start, end, first_doc_id): each longest passage of at least ``least`` words that another
     document has too; start and end in code points, and the smallest id among the documents that share a part of it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    named = docs.withColumn("name", F.xxhash64("text"))
+    named = docs.withColumns({"name": F.xxhash64("text"), "more": F.xxhash64(F.lit(1), "text")})
     suffix = stored(suffixes(named, least - window + 1, gram, window), "suffixes")
-    shared = suffix.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("key")
-    places = suffix.join(shared, "key", "left_semi").groupBy("name").agg(F.collect_set("at").alias("places"))
-    members = named.select("name", "doc_id").distinct()
-    classes = members.groupBy("name").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
-    wanted = stored(classes.join(places, "name", "left").where("copied OR places IS NOT NULL"), "wanted")
+    places = shared_rows(suffix, ["key"], "name", "name").groupBy("name").agg(F.collect_set("at").alias("places"))
+    members = named.select("name", "more", "doc_id").distinct()
+    classes = members.groupBy("name", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    wanted = stored(classes.join(places, "name", "left").withColumn("copied", F.col("low") < F.col("high")).where("copied OR places IS NOT NULL"), "wanted")
     forget(suffix)
-    runs = stored(extended(named.join(wanted, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]), least, window), "runs")
-    both = runs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id <> last_doc_id").drop("last_doc_id")
-    again = runs.join(both, "key").drop("key").unionByName(runs.where("key IS NULL").drop("key").withColumn("first_doc_id", F.col("doc_id")))
-    passages = merged(again)
-    copies = wanted.where("copied").select(F.col("doc_id").alias("rep"), "name").join(members, "name").select("rep", F.col("doc_id").alias("copy")).where("rep <> copy")
-    rest = passages.join(copies, passages["doc_id"] == copies["rep"]).select(F.col("copy").alias("doc_id"), *[x.split()[0] for x in SCHEMA.split(", ")[1:]])
-    return passages.unionByName(rest)
+    # a class is told by its smallest document and its text's hash: of repeated rows one is read
+    texts = named.select("name", "more", F.col("doc_id").alias("low"), "text").join(wanted, ["name", "more", "low"]).dropDuplicates(["name", "more", "low"])
+    rows = stored(contexts(texts, least, window), "contexts", compression="zstd")
+    array = rows.where("right IS NOT NULL").repartitionByRange("right", "left", "name", "at").sortWithinPartitions("right", "left", "name", "at")
+    found = stored(neighbours(array, least, window, most_held), "found")
+    cut = found.where("ka IS NOT NULL")
+    several = shared_rows(cut, ["ka", "kb"], "low", "high").withColumn("first_doc_id", F.col("first"))
+    whole = rows.where("right IS NULL").select("name", "low", "high", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "start", "end", F.col("low").alias("first_doc_id"))
+    every = [df.select("name", "low", "high", "at", "n", "start", "end", "first_doc_id") for df in (found.where("ka IS NULL"), several, whole)]
+    passages = stored(merged(every[0].unionByName(every[1]).unionByName(every[2]).withColumn("copied", F.col("low") < F.col("high"))), "passages")
+    shown = [F.col("at").alias("start_word"), F.col("n").alias("n_words"), "start", "end", "first_doc_id"]
+    copies = passages.where("copied").join(wanted.where("copied").select("name", "more", "low").join(members, ["name", "more"]), ["name", "low"])
+    return passages.where("NOT copied").select(F.col("low").alias("doc_id"), *shown).unionByName(copies.select("doc_id", *shown))
