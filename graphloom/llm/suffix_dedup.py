@@ -13,8 +13,9 @@ words follow.
    common words to the right (from the order) and to the left (by classes of equal left words) tell each run of ``least`` words around a suffix
    that another document has too. All pairs of a left and a right length that add up to ``least`` are tried, since the neighbour with
    the longest match to the right need not be the one that completes ``least`` words.
-4. *Borders.* The first and last group of suffixes of a range may go on in the next one, and a group of more than ``most_held`` is not held in memory: their
-   runs are compared by 128-bit fingerprints of their words and partial aggregates instead.
+4. *Borders.* The first and last group of suffixes of a range may go on in the next one, and a group of more than ``most_held`` is held in memory
+   in parts. Of such groups, runs without partner in their part, and one of each run with partners, are compared once more by 128-bit
+   fingerprints of their words.
 5. Overlapping runs of a text merge to its longest passages. Every passage of at least ``least`` words that occurs in two documents is found in both, to the word.
 
 Texts that are equal as a whole are one text throughout, and each copy is a repeated passage from its first to its last word. Joins by a
@@ -28,18 +29,21 @@ its own texts share; an empty table gives no rows; other columns are ignored. Wo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, forget, gram_hashes, lower_words, stored
 
 SCHEMA = "doc_id long, start_word long, n_words long, start long, end long, first_doc_id long"
 CONTEXT = "right binary, left binary, name long, at int, start long, gaps binary, low long, high long, n int, end long"
-FOUND = "ka long, kb long, name long, low long, high long, at long, n long, start long, end long, first_doc_id long"
+#: What tasks find: stretches (name to first_doc_id); of open groups also runs (ka, kb), their classes within a part of the order, and sets of classes.
+FOUND = "name long, low long, high long, at long, n long, start long, end long, first_doc_id long, ka long, kb long, class long, classes long"
+STRETCH = ("name", "low", "high", "at", "n", "start", "end", "first_doc_id")
 #: Values of a join key that are taken apart as frequent, at most.
 MOST_HOT = 10_000
 
@@ -163,12 +167,17 @@ def _length(word: bytes) -> int:
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 10)], [x.split()[0] for x in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 12)], [x.split()[0] for x in FOUND.split(", ")])
 
 
-def compared(group: list[Suffix], least: int, window: int) -> Iterator[tuple]:
-    """Rows of FOUND for whole groups of suffixes in their order: the longest stretch around each that runs of other documents cover."""
-    m, before, prefix = len(group), window - 1, least - window + 1
+def compared(group: list[Suffix], is_open: np.ndarray, least: int, window: int, part: int) -> Iterator[tuple]:
+    """Rows of FOUND for a part of the order: the longest stretch around each suffix that runs of other documents cover.
+
+    Groups that are open may have members elsewhere. Of theirs, runs that no other document has here are told as stretches with a fingerprint. A run that
+    several documents have here is told once, as a class; their stretches name the set of classes they come from, whose smallest document
+    may be elsewhere.
+    """
+    m, before = len(group), window - 1
     numbers: dict[bytes, int] = {}
     number = lambda w: numbers.setdefault(w, len(numbers))
     right, left = np.full((m, least), -1, np.int64), np.full((m, before), -1, np.int64)
@@ -181,6 +190,7 @@ def compared(group: list[Suffix], least: int, window: int) -> Iterator[tuple]:
     low, high = np.array([s.low for s in group]), np.array([s.high for s in group])
     farthest, nearest, first = np.full(m, -1), np.full(m, window), np.full(m, np.iinfo(np.int64).max)
     same_left = np.zeros(m, np.int64)
+    classes, unit = np.full((m, window), -1, np.int64), 1 << 28
     for back in range(window):
         if back:
             same_left = np.unique(same_left * (len(numbers) + 1) + left[:, back - 1] + 1, return_inverse=True)[1]
@@ -189,67 +199,105 @@ def compared(group: list[Suffix], least: int, window: int) -> Iterator[tuple]:
         order = np.argsort(key, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
         sizes = np.diff(np.append(heads, m))
-        lowest, highest = np.empty(m, np.int64), np.empty(m, np.int64)
+        lowest, highest, lead = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m, np.int64)
         lowest[order] = np.repeat(np.minimum.reduceat(low[order], heads), sizes)
         highest[order] = np.repeat(np.maximum.reduceat(high[order], heads), sizes)
-        hit = (lowest < highest) & (has_right >= ahead) & (has_left >= back)
+        lead[order] = np.repeat(order[heads], sizes)
+        whole = (has_right >= ahead) & (has_left >= back)
+        hit = (lowest < highest) & whole
         farthest[hit] = back
         nearest[hit] = np.minimum(nearest[hit], back)
         first[hit] = np.minimum(first[hit], lowest[hit])
+        classes[hit, back] = lead[hit]
+        for i in np.flatnonzero(whole & is_open & ((lead == np.arange(m)) | ~hit)):
+            s = group[i]
+            name = xxhash.xxh128_intdigest(b" ".join(s.left[:back][::-1] + s.right[:ahead]))
+            ka, kb = ((x ^ (1 << 63)) - (1 << 63) for x in (name >> 64, name & ((1 << 64) - 1)))
+            if hit[i]:
+                yield None, int(lowest[i]), int(highest[i]), None, None, None, None, None, ka, kb, part * unit + int(i) * window + back, None
+            else:
+                yield s.name, s.low, s.high, s.at - back, least, *s.bounds(back, ahead), None, ka, kb, None, None
+    named: dict[bytes, int] = {}
     for i in np.flatnonzero(farthest >= 0):
-        s, back, ahead = group[i], int(farthest[i]), least - int(nearest[i])
-        start, end = s.bounds(back, ahead)
-        yield None, None, s.name, s.low, s.high, s.at - back, back + ahead, start, end, int(first[i])
-
-
-def runs_of(s: Suffix, least: int, window: int) -> Iterator[tuple]:
-    """Rows of FOUND, with fingerprints of their words, for all runs of ``least`` words around a suffix."""
-    for back in range(min(window - 1, len(s.left)) + 1):
-        if len(s.right) >= least - back:
-            h = xxhash.xxh128_intdigest(b" ".join(s.left[:back][::-1] + s.right[: least - back]))
-            ka, kb = ((x ^ (1 << 63)) - (1 << 63) for x in (h >> 64, h & ((1 << 64) - 1)))
-            yield ka, kb, s.name, s.low, s.high, s.at - back, least, *s.bounds(back, least - back), None
+        s, back, ahead, of = group[i], int(farthest[i]), least - int(nearest[i]), None
+        if is_open[i]:
+            held = classes[i].tobytes()
+            if (of := named.get(held)) is None:
+                of = named[held] = part * unit + int(i)
+                for back_of, c in enumerate(classes[i].tolist()):
+                    if c >= 0:
+                        yield None, None, None, None, None, None, None, None, None, None, part * unit + c * window + back_of, of
+        yield s.name, s.low, s.high, s.at - back, back + ahead, *s.bounds(back, ahead), None if is_open[i] else int(first[i]), None, None, None, of
 
 
 def neighbours(sorted_contexts: DataFrame, least: int, window: int, most_held: int) -> DataFrame:
-    """Rows of FOUND from sorted rows of CONTEXT: stretches that repeat, and runs of groups that a border may cut (with a key)."""
+    """Rows of FOUND from sorted rows of CONTEXT. Open groups are the first and last of a range, and those of more than ``most_held`` rows."""
     prefix = least - window + 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[Suffix] = []
-        group: list[Suffix] = []
-        words, loose, out = None, True, []
+        from pyspark import TaskContext
+
+        held: list[Suffix] = []
+        parts = count(TaskContext.get().partitionId() << 15)
+        # where the last group starts in what is held, whether it began before, and the end of a first group that did
+        last, cut, open_to = 0, True, 0
+        words = None
+
+        def flush(n: int, last_is_open: bool) -> Iterator[pa.RecordBatch]:
+            """Compares the first ``n`` of what is held; the group that is cut there, if one is, is open."""
+            is_open = np.zeros(n, bool)
+            is_open[:open_to] = True
+            if last_is_open:
+                is_open[last:] = True
+            rows = []
+            for row in compared(held[:n], is_open, least, window, next(parts)) if n else ():
+                rows.append(row)
+                if len(rows) >= 20_000:
+                    yield _found(rows)
+                    rows = []
+            yield _found(rows)
+
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 s = Suffix(*row)
                 if s.right[:prefix] != words:
-                    if words is not None and not loose:
-                        done += group
-                        group = []
-                    loose = words is None  # the first group of the range may have begun in the one before
+                    if cut:
+                        open_to = len(held)  # the group that ends here began elsewhere
+                    if len(held) >= 20_000:
+                        yield from flush(len(held), False)
+                        held.clear()
+                        open_to = 0
+                    last, cut = len(held), words is None
                     words = s.right[:prefix]
-                if loose:
-                    out += runs_of(s, least, window)
-                else:
-                    group.append(s)
-                    if len(group) > most_held:
-                        for s in group:
-                            out += runs_of(s, least, window)
-                        group, loose = [], True
-                if len(done) >= 20_000:
-                    out += compared(done, least, window)
-                    done = []
-                if len(out) >= 20_000:
-                    yield _found(out)
-                    out = []
-        out += compared(done, least, window) if done else []
-        for s in group:  # the last group may go on in the next range
-            out += runs_of(s, least, window)
-        yield _found(out)
+                held.append(s)
+                if len(held) - last > most_held:
+                    yield from flush(len(held), True)
+                    held.clear()
+                    last, cut, open_to = 0, True, 0
+        if cut:
+            open_to = len(held)
+        yield from flush(len(held), True)
 
     return sorted_contexts.mapInArrow(task, FOUND)
 
 
+def elsewhere(found: DataFrame) -> DataFrame:
+    """The stretches of open groups, with the smallest document that has a run of theirs.
+
+    A run comes once from each part of the order if several documents have it there, else once or as often as one document repeats it; a class and a set of
+    classes belong to one part. So none of the three windows sees more rows of one key than there are parts, or than a part holds.
+    """
+    runs, of_class, of_set = (Window.partitionBy(*k) for k in (("ka", "kb"), ("class",), ("classes",)))
+    met = found.where("ka IS NOT NULL").withColumns({"first_doc_id": F.min("low").over(runs), "last": F.max("high").over(runs)})
+    alone = met.where("class IS NULL AND first_doc_id < last").select(*STRETCH)
+    links = found.where("ka IS NULL AND class IS NOT NULL").select("class", "classes", F.lit(None).cast("long").alias("first"))
+    told = met.where("class IS NOT NULL").select("class", F.lit(None).cast("long").alias("classes"), F.col("first_doc_id").alias("first"))
+    sets = links.unionByName(told).withColumn("first", F.min("first").over(of_class)).where("classes IS NOT NULL").select("classes", "first")
+    here = found.where("ka IS NULL AND class IS NULL").withColumn("first", F.lit(None).cast("long"))
+    both = here.unionByName(sets, allowMissingColumns=True).withColumn("first_doc_id", F.min("first").over(of_set)).where("name IS NOT NULL")
+    return alone.unionByName(both.select(*STRETCH))
+
+
 def merged(runs: DataFrame) -> DataFrame:
     """Overlapping stretches (name, at, n, start, end, first_doc_id, low, copied) of a text become its longest passages."""
     names = ["name", "low", "copied", "at", "n", "start", "end", "first_doc_id"]
@@ -294,11 +342,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8, window: i
     rows = stored(contexts(texts, least, window), "contexts", compression="zstd")
     array = rows.where("right IS NOT NULL").repartitionByRange("right", "left", "name", "at").sortWithinPartitions("right", "left", "name", "at")
     found = stored(neighbours(array, least, window, most_held), "found")
-    cut = found.where("ka IS NOT NULL")
-    several = shared_rows(cut, ["ka", "kb"], "low", "high").withColumn("first_doc_id", F.col("first"))
+    opened = elsewhere(found.where("first_doc_id IS NULL").drop("first_doc_id"))
     whole = rows.where("right IS NULL").select("name", "low", "high", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "start", "end", F.col("low").alias("first_doc_id"))
-    every = [df.select("name", "low", "high", "at", "n", "start", "end", "first_doc_id") for df in (found.where("ka IS NULL"), several, whole)]
-    passages = stored(merged(every[0].unionByName(every[1]).unionByName(every[2]).withColumn("copied", F.col("low") < F.col("high"))), "passages")
+    every = found.where("first_doc_id IS NOT NULL").select(*STRETCH).unionByName(opened).unionByName(whole)
+    passages = stored(merged(every.withColumn("copied", F.col("low") < F.col("high"))), "passages")
     shown = [F.col("at").alias("start_word"), F.col("n").alias("n_words"), "start", "end", "first_doc_id"]
     copies = passages.where("copied").join(wanted.where("copied").select("name", "more", "low").join(members, ["name", "more"]), ["name", "low"])
     return passages.where("NOT copied").select(F.col("low").alias("doc_id"), *shown).unionByName(copies.select("doc_id", *shown))
