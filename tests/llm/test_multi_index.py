@@ -59,6 +59,30 @@ def test_crowded_cell_in_blocks(spark):
     assert all(got[r[0]]["n_links"] <= n for r, n in zip(rows, links, strict=True))
 
 
+@pytest.mark.parametrize("own_grid", [10, 100_000])
+def test_vectors_of_several_lengths(spark, own_grid):
+    rows = vectors(5, 300, 16) + [(1000 + k, v, y) for k, v, y in vectors(6, 120, 8)]
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), own_grid=own_grid).collect()}
+    links = brute(vectors(5, 300, 16), 0.93)[0] + brute(vectors(6, 120, 8), 0.93)[0]
+    want = {r[0]: n for r, n in zip(rows, links, strict=True)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(links)
+
+
+@pytest.mark.parametrize(("d", "codes"), [(64, 16), (64, 64), (768, 32)])
+def test_recall_on_vectors_that_calibration_has_not_seen(d, codes):
+    rng = np.random.default_rng(d + codes)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centres = rng.normal(size=(40, d))
+    draw = lambda n: unit(np.concatenate([centres[rng.integers(40, size=n // 2)] + 0.7 * rng.normal(size=(n // 2, d)), rng.normal(size=(n - n // 2, d))]))
+    grid = multi_index.Grid(draw(2000), draw(2000), np.zeros(2000, int), 0.93, codes, 0.999)
+    one = draw(800)
+    noise = rng.normal(size=one.shape)
+    noise -= (noise * one).sum(axis=1)[:, None] * one
+    two = 0.93 * one + np.sqrt(1 - 0.93**2) * unit(noise)
+    a, b = grid.visits(one), grid.visits(two)
+    assert np.mean((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)) >= 0.985
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(4)
     a, b = rng.random(7), rng.random(9)
@@ -69,14 +93,15 @@ def test_multi_sequence_order():
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0, 4.0]
-    rows = [(1, None, 1), (2, [], 1), (3, [0.0] * 4, 1), (4, [nan, 1.0, 1.0, 1.0], 1), (5, [inf, 1.0, 1.0, 1.0], 1), (6, [1.0, None, 1.0, 1.0], 1), (7, v, None), (8, v, 1), (9, v, 1), (10, [2 * x for x in v], 1), (11, v, 2), (12, [1e300, 2e300, 3e300, 4e300], 1), (13, [1.0, 2.0], 1), (None, v, 3), (8, v, 1)]
+    rows = [(1, None, 1), (2, [], 1), (3, [0.0] * 4, 1), (4, [nan, 1.0, 1.0, 1.0], 1), (5, [inf, 1.0, 1.0, 1.0], 1), (6, [1.0, None, 1.0, 1.0], 1), (7, v, None), (8, v, 1), (9, v, 1), (10, [2 * x for x in v], 1), (11, v, 2), (12, [1e300, 2e300, 3e300, 4e300], 1), (13, [1.0, 2.0], 1), (14, [2.0, 4.0], 1), (15, [2.0, 4.0], 2), (16, [-3.0], 1), (17, [-1.0], 1), (18, [1.0], 1), (None, v, 3), (8, v, 1)]
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, unit string, ka int")
     got = {}
     for r in multi_index.near_duplicates(table).collect():
         got.setdefault(r["vec_id"], r)
-    for i in (1, 2, 3, 4, 5, 6, 7, 11, 13):
+    for i in (1, 2, 3, 4, 5, 6, 7, 11, 15, 18):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[None]["component_id"] is None and got[None]["kept"]
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (13, 14, 16, 17)] == [(1, 13), (1, 13), (1, 16), (1, 16)]  # vectors of a rarer length link too
     assert {got[i]["component_id"] for i in (8, 9, 10, 12)} == {8} and got[9]["n_links"] == 4
     assert multi_index.near_duplicates(table.where("false")).count() == 0
     assert multi_index.near_duplicates(table.where("vec_id < 4")).count() == 3
