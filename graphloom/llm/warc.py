@@ -1,15 +1,17 @@
 """WARC archives as a chunked record table.
 
-Writing: each page is a ``response`` record, or a ``revisit`` of the page with the smallest id among equal payloads.
-A payload above ``chunk_bytes`` is cut into WARC segments (a first record and ``continuation`` records), each a row of
-its own, so no task holds a whole large record as bytes twice. The archives are plain WARC files: records joined by
-CRLF CRLF, written through Spark's text sink and so with its commit protocol on any file system,
-one gzip stream per file. A cut also falls inside
-any place where the payload would look like the border of a record, so that archives can be split at borders alone.
+Writing: each page is a ``response`` record, or a ``revisit`` of the page with the smallest id among equal payloads. A payload is never copied
+as a whole: its SHA-1 state is carried from chunk to chunk of at most ``chunk_bytes``, and a payload of several chunks is
+cut into WARC segments (a first record and ``continuation`` records), each a row of its own. The archives are plain WARC files: records
+joined by CRLF CRLF, written through Spark's text sink and so with its commit protocol on any file system, one gzip
+stream per file of at most ``file_records`` rows.
 
-Reading: splits of the archives become rows of record identifier, chunk number and bytes; ``digests`` then carries the
-SHA-1 state from chunk to chunk, one chunk in memory at a time, and only for records of several chunks. Other records
-are written, read and digested by DataFrame functions, without a shuffle for reading.
+Reading: a task reads its files line by line and cuts records by their Content-Length into rows of record identifier, segment,
+chunk number, and bytes and SHA-1 of the payload up to and with that chunk. It holds a line, a batch of lines and a chunk, whatever a record's size, also of archives that
+others wrote: long records in one piece, payloads that hold the border of a record, HTTP heads before the payload. Segments may lie in several
+files; ``digests`` carries their states on in the order of the segments.
+
+A gzip stream cannot be split, so a file is one task's work; a file without compression that was split stops the job.
 
 Defined results: null html is an empty payload; a null url is written without a target; a page id that repeats gives a
 record per row, and equal payloads under the smallest id are responses all; where all ids of equal payloads are null, all are responses;
@@ -25,45 +27,68 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import small_side
 from .common import shared_dir
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: What stands between records in the files; a row of the text sink starts after it.
-BORDER = "\r\n\r\nWARC/1.1\r\n"
-_BORDER = re.compile(re.escape(BORDER.encode()))
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+CHUNKS = (
+    "record_id string, segment_no long, chunk_no long, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, "
+    "whole boolean, last boolean, chunk binary, bytes_so_far long, digest_so_far string"
+)
+_SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in CHUNKS.split(", "))])
+
+
+def base32(state) -> str:
+    return base64.b32encode(state.digest()).decode()
+
 
+def _views(payload, chunk_bytes: int) -> Iterator[memoryview]:
+    """Chunks of a buffer, not copied; of an empty one, one."""
+    view = memoryview(payload)
+    for a in range(0, max(1, len(view)), chunk_bytes):
+        yield view[a : a + chunk_bytes]
 
-def base32_of_hex(digest: Column) -> Column:
-    """Base32 (RFC 4648) of 40 hexadecimal digits: each five digits are four letters."""
-    letters = []
-    for g in range(8):
-        bits = F.conv(F.substring(digest, 5 * g + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(ALPHABET), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
 
+def with_digests(pages: DataFrame, chunk_bytes: int, payloads: bool) -> DataFrame:
+    """(page_id, digest, bytes[, url, payload]): the SHA-1 (bare base32) of each payload, carried over its chunks."""
+    names = ["page_id", "digest", "bytes", *(["url", "payload"] if payloads else [])]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, sizes = [], []
+            for value in batch.column(1):
+                state, size = hashlib.sha1(), 0
+                for view in _views(value.as_buffer(), chunk_bytes):
+                    state.update(view)
+                    size += len(view)
+                sums.append(base32(state))
+                sizes.append(size)
+            more = [batch.column(2), batch.column(1)] if payloads else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string()), pa.array(sizes, pa.int64()), *more], names)
 
-def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0) -> None:
-    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``."""
-    records = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
-    ).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    heads = records.where(F.col("bytes") >= minimum_revisit).groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "head")
-    told = records.join(heads, "digest", "left").withColumn("revisit", F.coalesce((F.col("bytes") >= minimum_revisit) & ~F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull(), F.lit(False)))
+    read = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"), *([F.col("url").cast("string")] if payloads else []))
+    return read.mapInArrow(task, "page_id long, digest string, bytes long" + (", url string, payload binary" if payloads else ""))
 
-    told = told.select("page_id", "url", "payload", base32_of_hex(F.col("digest")).alias("digest"), "bytes", "head", "revisit")
-    plain = F.col("revisit") | ((F.col("bytes") <= chunk_bytes) & (F.instr(F.col("payload").cast("string"), BORDER) == 0))
+
+def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0, file_records: int = 1_000_000) -> None:
+    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``. Payloads stay where they are read, unless there are too many
+    repeated ones to send their names to each task."""
+    named = with_digests(pages, chunk_bytes, False).where(F.col("bytes") >= minimum_revisit)
+    heads = named.groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND head IS NOT NULL").select("digest", "head")
+    told = with_digests(pages, chunk_bytes, True).join(small_side(heads), "digest", "left")
+    revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")) & (F.col("bytes") >= minimum_revisit)
+    told = told.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.col("head")).alias("head"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[bytes] = []
             held = 0
-            for page, url, payload, digest, size in zip(*(batch.column(k) for k in range(5)), strict=True):
-                for row in _segments(page.as_py(), url.as_py(), payload.as_buffer(), digest.as_py(), size.as_py(), chunk_bytes):
+            for page, url, payload, digest, size, head in zip(*(batch.column(k) for k in range(6)), strict=True):
+                for row in _segments(page.as_py(), url.as_py(), payload, digest.as_py(), size.as_py(), head.as_py(), chunk_bytes):
                     rows.append(row)
                     held += len(row)
                     if held > 8 * chunk_bytes:
@@ -72,140 +97,167 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 64 << 10, min
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    single = told.where(plain).select(_whole_record().alias("value"))
-    several = told.where(~plain).mapInArrow(segments, "record binary").select(F.col("record").cast("string").alias("value"))
-    single.unionAll(several).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
-
-
-def _whole_record() -> Column:
-    """A record of one segment, or a revisit, as text."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    optional = lambda name, value: F.coalesce(line(name, value.cast("string")), F.lit(""))
-    revisit = F.col("revisit")
-    return F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
-        F.lit(f"Content-Type: text/html{CRLF}"),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        optional("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")),
-        line("X-Payload-Length", F.col("bytes").cast("string")),
-        optional("X-Page-ID", F.col("page_id")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT}{CRLF}X-Refers-To-Page-ID: "), F.col("head").cast("string"), F.lit(f"{CRLF}Content-Length: 0{CRLF}{CRLF}"))).otherwise(
-            F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF), F.col("payload").cast("string"))
-        ),
-    )
-
-
-def _segments(page: int | None, url: str | None, payload: memoryview, digest: str, size: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The segments of a response, each with its header block."""
+    lines = told.mapInArrow(segments, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+
+
+def _segments(page: int | None, url: str | None, payload: pa.Scalar, digest: str, size: int, head: int | None, chunk_bytes: int) -> Iterator[bytes]:
+    """The segments of a response, each with its header block, or the one record of a revisit."""
     name = f"<urn:uuid:{uuid.uuid4()}>"
-    fields = ["WARC-Type: response", f"WARC-Record-ID: {name}", "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{digest}"]
+    fields = [f"WARC-Type: {'response' if head is None else 'revisit'}", f"WARC-Record-ID: {name}", "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         fields.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", "%20", url))
     fields.append(f"X-Payload-Length: {size}")
     if page is not None:
         fields.append(f"X-Page-ID: {page}")
-    cuts = list(_cuts(payload, chunk_bytes))
-    if len(cuts) > 1:
+    if head is not None:
+        yield _block([*fields, f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-ID: {head}"], b"")
+        return
+    if size > chunk_bytes:
         fields.append("WARC-Segment-Number: 1")
-    for k, (a, b) in enumerate(cuts):
-        if k:
-            fields = ["WARC-Type: continuation", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Segment-Origin-ID: {name}", f"WARC-Segment-Number: {k + 1}"]
-            if k == len(cuts) - 1:
+    written = 0
+    for k, view in enumerate(_views(payload.as_buffer(), chunk_bytes), 1):
+        written += len(view)
+        if k > 1:
+            fields = ["WARC-Type: continuation", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Segment-Origin-ID: {name}", f"WARC-Segment-Number: {k}"]
+            if written == size:
                 fields.append(f"WARC-Segment-Total-Length: {size}")
-        yield _block(fields, memoryview(payload)[a:b])
+        yield _block(fields, view)
 
 
 def _block(fields: list[str], content) -> bytes:
     head = CRLF.join(["WARC/1.1", *fields, f"Content-Length: {len(content)}", "", ""]).encode("utf-8", "surrogatepass")
-    return head + bytes(content)
-
-
-def _cuts(payload, chunk_bytes: int) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``chunk_bytes`` of a buffer that hold no border: a cut falls into each. The buffer is not copied."""
-    a, n = 0, len(payload)
-    while True:
-        b = min(a + chunk_bytes, n)
-        found = _BORDER.search(payload, a, b)
-        if found:
-            b = found.start() + 5
-        yield a, b
-        if b >= n:
-            return
-        a = b
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, chunk_no, page_id, record_type, payload_digest, payload_bytes, refers_to, n_bytes, chunk): a row per segment.
-
-    Files are split at borders, so a task holds one segment of a record at a time. A segment whose length is not the
-    one that its header tells stops the job.
-    """
-    text = spark.read.option("lineSep", BORDER).text(path)
-    head = F.substring_index("value", CRLF + CRLF, 1)
-
-    def field(name: str) -> Column:
-        found = F.regexp_extract("head", rf"(?:^|\n){name}: ([^\r]*)", 1)
-        return F.when(found != "", found)
-
-    cut = text.select(head.alias("head"), F.octet_length(head).alias("at"), F.col("value").cast("binary").alias("raw"))
-    parsed = cut.select(
-        F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
-        F.coalesce(field("WARC-Segment-Number").cast("long"), F.lit(1).cast("long")).alias("chunk_no"),
-        field("X-Page-ID").cast("long").alias("page_id"),
-        field("WARC-Type").alias("record_type"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        field("X-Payload-Length").cast("long").alias("payload_bytes"),
-        field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
-        field("Content-Length").cast("long").alias("n_bytes"),
-        field("WARC-Segment-Number").isNull().alias("whole"),
-        F.expr("substring(raw, at + 5, CAST(regexp_extract(head, '(?:^|\n)Content-Length: ([0-9]+)', 1) AS INT))").alias("chunk"),
-        (F.octet_length("raw") - F.col("at") - 4).alias("rest"),
-    )
-    # the last record of a file is followed by CRLF CRLF
-    whole = (F.col("rest") - F.col("n_bytes")).isin(0, 4)
-    return parsed.withColumn("n_bytes", F.when(F.coalesce(whole, F.lit(False)), F.col("n_bytes")).otherwise(F.raise_error(F.concat(F.lit("segment has not the length that its header tells: "), F.coalesce("record_id", F.lit("no id")))).cast("long"))).drop("rest")
+    return b"".join((head, content))
+
+
+class RecordReader:
+    """Cuts a stream of bytes into chunk rows; what comes in is released as soon as it is told."""
+
+    def __init__(self, chunk_bytes: int, keep: bool):
+        self.chunk_bytes, self.keep = chunk_bytes, keep
+        self.held = bytearray()
+        #: Of the record that is being read: header fields, bytes that are left, whether an HTTP head comes first.
+        self.fields: dict[str, str] | None = None
+        self.left, self.http = 0, False
+
+    def feed(self, data: bytes, rows: list[tuple]) -> None:
+        self.held += data
+        at = 0
+        while True:
+            if self.fields is None:
+                while at < len(self.held) and self.held[at] in b"\r\n":
+                    at += 1
+                end = self.held.find(b"\r\n\r\n", at)
+                if end < 0:
+                    if not self.held.startswith(b"WARC/"[: len(self.held) - at], at) or len(self.held) - at > 1 << 20:
+                        raise ValueError("no WARC record starts here: the archive is damaged, or a file without compression was split")
+                    break
+                self._open(bytes(self.held[at:end]))
+                at = end + 4
+            if self.http:
+                end = self.held.find(b"\r\n\r\n", at, at + self.left)
+                if end < 0 and len(self.held) - at < self.left:
+                    break
+                passed = end + 4 - at if end >= 0 else self.left
+                at, self.left, self.http = at + passed, self.left - passed, False
+            have = min(self.left, len(self.held) - at)
+            while have >= self.chunk_bytes or have == self.left:
+                n = min(have, self.chunk_bytes)
+                rows.append(self._row(bytes(self.held[at : at + n]), n == self.left))
+                at, have, self.left = at + n, have - n, self.left - n
+                if not self.left:
+                    self.fields = None
+                    break
+            if self.fields is not None:
+                break
+        del self.held[:at]
+
+    def _open(self, head: bytes) -> None:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("no WARC record starts here: the archive is damaged, or a file without compression was split")
+        self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        self.left = int(self.fields["content-length"])
+        self.http = self.fields.get("content-type", "").startswith("application/http") and self.fields.get("warc-type") in ("response", "revisit")
+        self.number, self.size, self.state = 0, 0, hashlib.sha1()
+
+    def _row(self, chunk: bytes, last: bool) -> tuple:
+        get = self.fields.get
+        number = lambda name: int(get(name)) if get(name) else None
+        self.number += 1
+        self.size += len(chunk)
+        self.state.update(chunk)
+        segment = number("warc-segment-number")
+        return (
+            get("warc-segment-origin-id") or get("warc-record-id"), segment or 1, self.number, number("x-page-id"), get("warc-type"),
+            get("warc-payload-digest", "").removeprefix("sha1:") or None, number("x-payload-length"), number("x-refers-to-page-id"),
+            segment is None, last, chunk if self.keep or segment else None, self.size, base32(self.state) if segment is None else None,
+        )
+
+    def close(self) -> None:
+        if self.fields is not None or bytes(self.held).strip():
+            raise ValueError(f"the archive ends within record {(self.fields or {}).get('warc-record-id')}")
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = 64 << 10, keep: bool = True) -> DataFrame:
+    """A row of CHUNKS for each chunk of each record. Of segments, bytes are told within the segment and digests not yet. Without ``keep``,
+    chunks of records in one piece are left out once they are digested."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, rows, held = RecordReader(chunk_bytes, keep), [], 0
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            lines.append(b"")
+            done = len(rows)
+            reader.feed(b"\n".join(lines), rows)
+            held += sum(len(r[10]) for r in rows[done:] if r[10])
+            if len(rows) >= 5000 or held > 16 * chunk_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+                rows, held = [], 0
+        reader.close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary")).mapInArrow(task, CHUNKS)
 
-def digests(chunks: DataFrame) -> DataFrame:
-    """Adds to chunk rows the bytes and the SHA-1 (bare base32) of their record up to and with that chunk.
 
-    Chunks of one record are visited in order by one task with a running state; at most one chunk is held.
-    """
-    schema = chunks.schema.add("bytes_so_far", "long").add("digest_so_far", "string")
+def digests(chunks: DataFrame) -> DataFrame:
+    """Carries bytes and SHA-1 over the segments of each record; chunks of one record are visited in order by one task with a running
+    state, and at most a batch of chunks is held."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, state, size, number = None, None, 0, 0
+        name, state, size, at = None, None, 0, (0, True)
         for batch in batches:
             sizes, sums = [], []
-            for record, no, chunk in zip(batch.column("record_id").to_pylist(), batch.column("chunk_no").to_pylist(), batch.column("chunk"), strict=True):
+            for record, no, part, last, chunk in zip(*(batch.column(n).to_pylist() for n in ("record_id", "segment_no", "chunk_no", "last")), batch.column("chunk"), strict=True):
                 if record != name:
-                    name, state, size, number = record, hashlib.sha1(), 0, 0
-                if no != number + 1:
-                    raise ValueError(f"record {name} lacks its segment {number + 1}")
-                number = no
+                    name, state, size, at = record, hashlib.sha1(), 0, (0, True)
+                if no != at[0] + (part == 1) or (part == 1) != at[1]:
+                    raise ValueError(f"record {name} lacks its segment {at[0] + 1}")
+                at = (no, last)
                 state.update(chunk.as_buffer())
                 size += len(chunk.as_buffer())
                 sizes.append(size)
-                sums.append(base64.b32encode(state.copy().digest()).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], [*batch.schema.names, "bytes_so_far", "digest_so_far"])
+                sums.append(base32(state.copy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], batch.schema.names)
 
-    single = chunks.where("whole").withColumns({"bytes_so_far": F.col("n_bytes"), "digest_so_far": base32_of_hex(F.sha1("chunk"))})
-    several = chunks.where("NOT whole").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(carry, schema)
-    return single.unionByName(several)
+    several = chunks.where("NOT whole").repartition("record_id").sortWithinPartitions("record_id", "segment_no", "chunk_no").mapInArrow(carry, CHUNKS)
+    return chunks.where("whole").unionByName(several)
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """A row per record; bytes and digest of responses come from the bytes that were read and must be those of the header."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit; bytes and digest of responses come from the bytes that were
+    read and must be those of the header, where it tells any."""
+    told = ["page_id", "payload_digest", "payload_bytes", "refers_to"]
     read = digests(chunks).drop("chunk")
-    last = F.struct("chunk_no", "bytes_so_far", "digest_so_far")
-    several = read.where("NOT whole").groupBy("record_id").agg(*[F.max(c).alias(c) for c in ("page_id", "payload_digest", "payload_bytes", "refers_to")], F.lit("response").alias("record_type"), F.max(last).alias("last"))
-    single = read.where("whole").withColumn("last", last)
-    both = single.select("page_id", "payload_digest", "payload_bytes", "refers_to", "record_type", "last").unionByName(several.drop("record_id"))
-    wrong = (F.col("record_type") == "response") & ((F.col("last.digest_so_far") != F.col("payload_digest")) | (F.col("last.bytes_so_far") != F.col("payload_bytes")))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("payload differs from its header: page "), F.col("page_id").cast("string"))).cast("long")).otherwise(F.col("payload_bytes"))
-    return both.select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    several = read.where("NOT whole").groupBy("record_id").agg(*[F.max(c).alias(c) for c in told], F.lit("response").alias("record_type"), F.max("bytes_so_far").alias("bytes_so_far"), F.max_by("digest_so_far", F.struct("segment_no", "chunk_no")).alias("digest_so_far"))
+    names = [*told, "record_type", "bytes_so_far", "digest_so_far"]
+    both = read.where("whole AND last AND record_type IN ('response', 'revisit')").select(names).unionByName(several.select(names))
+    response = F.col("record_type") == "response"
+    wrong = response & ((F.col("digest_so_far") != F.col("payload_digest")) | (F.col("bytes_so_far") != F.col("payload_bytes")))
+    size = F.when(response, F.col("bytes_so_far")).otherwise(F.col("payload_bytes"))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("payload differs from its header: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))).cast("long")).otherwise(size)
+    return both.select("page_id", checked.alias("payload_bytes"), F.when(response, F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0) -> DataFrame:
@@ -213,4 +265,4 @@ def round_trip(pages: DataFrame, chunk_bytes: int = 64 << 10, minimum_revisit: i
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
     write_archives(pages, path, chunk_bytes, minimum_revisit)
-    return records(read_chunks(spark, path))
+    return records(read_chunks(spark, path, chunk_bytes, keep=False))

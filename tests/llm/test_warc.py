@@ -9,7 +9,8 @@ import pytest
 from graphloom.llm import warc
 from graphloom.llm.common import shared_dir
 
-BORDER = warc.BORDER
+#: What stands between records in a file.
+BORDER = "\r\n\r\nWARC/1.1\r\n"
 
 
 @pytest.fixture
@@ -55,9 +56,8 @@ def test_archives_and_chunk_rows(spark, pages):
     for f in Path(path).glob("*.gz"):
         raw = gzip.decompress(f.read_bytes())
         assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") or not raw
-    chunks = warc.read_chunks(spark, path)
-    assert chunks.agg({"n_bytes": "max"}).first()[0] <= 1000
-    told = warc.digests(chunks).where("record_type IN ('response', 'continuation') AND NOT whole").orderBy("record_id", "chunk_no").collect()
+    told = warc.digests(warc.read_chunks(spark, path, 300)).orderBy("record_id", "segment_no", "chunk_no").collect()
+    assert max(len(r["chunk"]) for r in told) == 300
     states, sizes = {}, {}
     for r in told:
         h = states.setdefault(r["record_id"], hashlib.sha1())
@@ -66,6 +66,33 @@ def test_archives_and_chunk_rows(spark, pages):
         assert r["digest_so_far"] == base64.b32encode(h.digest()).decode() and r["bytes_so_far"] == sizes[r["record_id"]]
 
 
+@pytest.mark.parametrize("feed", [1, 7, 4096, 1 << 20])
+def test_archive_of_others(feed):
+    """Long records in one piece, borders inside payloads, HTTP heads, other record types: rows stay bounded."""
+    bodies = [b"", b"x" * 100_000, b"a" + BORDER.encode() * 30 + b"\n\r\n\r\n", bytes(range(256)) * 40]
+    raw = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    for k, body in enumerate(bodies):
+        for kind, block in (("text/plain", body), ("application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body)):
+            raw += f"WARC/1.1\r\nwarc-type: response\r\nWARC-Record-ID: <{k}{kind[:4]}>\r\nContent-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    reader, rows = warc.RecordReader(1000, True), []
+    most = 0
+    for a in range(0, len(raw), feed):
+        reader.feed(raw[a : a + feed], rows)
+        most = max(most, len(reader.held))
+    reader.close()
+    assert most <= 1000 + feed and max(len(r[10]) for r in rows) <= 1000
+    for k, body in enumerate(bodies):
+        for kind in ("text", "appl"):
+            mine = [r for r in rows if r[0] == f"<{k}{kind}>"]
+            assert b"".join(r[10] for r in mine) == body and [r[2] for r in mine] == list(range(1, len(mine) + 1))
+            assert mine[-1][11:] == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()) and [r[9] for r in mine] == [False] * (len(mine) - 1) + [True]
+    for part in (raw[:-200], raw[100:]):
+        reader = warc.RecordReader(1000, True)
+        with pytest.raises(ValueError, match="ends within|no WARC record"):
+            reader.feed(part, [])
+            reader.close()
+
+
 def test_damage_is_noticed(spark, pages):
     path = f"{shared_dir(spark)}/w-{uuid.uuid4().hex}"
     warc.write_archives(pages.where("page_id = 7"), path, 1000)
