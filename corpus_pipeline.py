@@ -8,8 +8,9 @@ STAGES are applied one after another; each result is written as Parquet and read
 4. personal data (weak supervision): spans are replaced by their kind in angle brackets;
 5. packing: the pieces of the remaining documents in sequences of at most 4096 tokens.
 
-All but the last return the columns of documents. A row is told by its doc_id: of rows that repeat an id with equal text one stays. A
-document with a null id cannot be told from others: it is kept by stage 2 and goes from stages 1 and 3 if any such one does.
+All but the last return the columns of documents, whatever their names. Stages 1 and 3 judge each row by its own text, so rows that share an id, or have none, go
+one by one. In stage 2 an id is one document with all its texts; of rows that repeat an id with equal text one stays, and a document
+with a null id is kept. Null texts are empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,23 +28,36 @@ from graphloom.llm.queries import tokenizer
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows of a rejected id and text (doc_id, text_hash)."""
+    key, text = _fresh(docs, "row_id"), _fresh(docs, "row_text")
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), text: F.xxhash64(F.col("text").cast("string"))})
+    gone = rejected.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    return marked.join(gone, marked[key].eqNullSafe(gone[key]) & (marked[text] == gone[text]), "left_anti").drop(key, text)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("rejected_id")), "left_anti")
+    return _without(docs, quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = chosen_path.near_duplicates(docs, words=5, threshold=0.8)
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rest = docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    key, text = _fresh(docs, "row_id"), _fresh(docs, "row_text")
+    dropped = chosen_path.near_duplicates(docs, words=5, threshold=0.8).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    rest = docs.withColumn(key, F.col("doc_id").cast("long")).join(dropped, key, "left_anti").drop(key)
     # repeated rows are copies too; the join has already brought the rows of an id together
-    return rest.withColumn("__copy", F.sha2("text", 256)).dropDuplicates(["doc_id", "__copy"]).drop("__copy")
+    return rest.withColumn(text, F.sha2(F.col("text").cast("string"), 256)).dropDuplicates(["doc_id", text]).drop(text)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_id")), "left_anti")
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import lower_words
 
 K1, B = 1.2, 0.75
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start_word long, n_words long"
+SCHEMA = "doc_id long, text_hash long, item_id long, score double, question_overlap double, answer_overlap double, start_word long, n_words long"
 _EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -174,10 +175,7 @@ class Index:
     @staticmethod
     def _advance(lists: list, item: int) -> None:
         for x in lists:
-            docs, k = x[0][0], x[1]
-            while k < len(docs) and docs[k] < item:
-                k += 1
-            x[1] = k
+            x[1] = bisect_left(x[0][0], item, x[1])
 
     def verified(self, item: int, words: list[bytes], overlap: float) -> tuple[float, float] | None:
         have = set(zip(words, words[1:], strict=False)) | {(w,) for w in words}
@@ -191,7 +189,8 @@ class Index:
 def contaminated(
     docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, block_items: int = 50_000, block_bytes: int = 32 << 20
 ) -> DataFrame:
-    """Pairs of a document and an item that it holds, with the best window: score, overlaps, first word and length."""
+    """Pairs of a document and an item that it holds, with the best window: score, overlaps, first word and length. An id and text_hash
+    (xxhash64) together tell the document's row."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL AND text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").distinct()
 
@@ -234,7 +233,7 @@ def _search_block(docs: DataFrame, items: DataFrame, frequency: DataFrame, size,
         stride = ix.longest
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = lower_words(text.as_py())
                 n_windows = max(1, -(-len(raw) // stride) - 1) if raw else 0
                 best: dict[int, tuple] = {}
@@ -249,8 +248,9 @@ def _search_block(docs: DataFrame, items: DataFrame, frequency: DataFrame, size,
                             if shares and (item not in best or score > best[item][0]):
                                 best[item] = (score, *shares, a, len(words))
                 for item, row in sorted(best.items()):
-                    for c, v in zip(out, (doc, ix.ids[item], *row), strict=True):
+                    for c, v in zip(out, (doc, name, ix.ids[item], *row), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(scan, SCHEMA)

@@ -7,8 +7,8 @@ and curvature over the whole stored feature table, in two levels, and brings one
 
 The class prior is estimated without negatives: a first model tells positives from unlabelled text, and on rows that it was not
 fitted to (every second) the share of unlabelled mass over positive mass in a region of high scores is smallest where only positives
-live; the lower confidence bound of that minimum is the prior. The second model minimises  prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)])  for logistic loss l; a step that makes the
-second term negative is shortened, and training ends where no step keeps it from being negative.
+live; the lower confidence bound of that minimum is the prior. The second model minimises  prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)])  for logistic loss l. Where the second term is
+negative, a step raises it instead, as the non-negative estimator asks for; of all weights on the way those of the smallest risk stay.
 
 Defined results: null text is the empty text, whose ratios are all 0; ids that repeat are scored once per row; of several labels of
 one id the largest counts; a null id has no label and is not held out; without positives every score is the prior 0.5; an empty
@@ -102,9 +102,11 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x = [ratios(v.as_py()) for v in batch.column(1)]
             flat = np.concatenate(x) if x else np.empty(0, np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_RATIOS, pa.int32()), pa.array(flat))], ["doc_id", "x"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_RATIOS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["doc_id", "x", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, x array<float>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(task, "doc_id long, x array<float>, text_hash long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -173,22 +175,23 @@ def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-3) -> tuple[np.ndarra
     prior = estimate_prior(rows.where(apart), w)
     w = np.zeros(d)
     w[0] = np.log(prior / (1 - prior))
-    last, scale, step = w, 1.0, np.zeros(d)
+    best, least, since = w, np.inf, 0
     for _ in range(2 * steps):
-        (n_p, _, down_p, _, xp, _), (n_u, _, down_u, su, _, hu) = _unpack(_sums(rows, *_curves(w)), d)
-        if down_u / n_u - prior * down_p / n_p < 0:  # the negative part of the risk: go back half of the way
-            scale /= 2
-            if scale < 0.1:
-                return last, prior
-            w = last - scale * step
-            continue
-        last, scale = w, 1.0
-        step = np.linalg.solve(hu / n_u + penalty, su / n_u - prior * xp / n_p + penalty @ w)
+        (n_p, up_p, down_p, sp, xp, _), (n_u, _, down_u, su, _, hu) = _unpack(_sums(rows, *_curves(w)), d)
+        negative = down_u / n_u - prior * down_p / n_p
+        risk = prior * up_p / n_p + max(0.0, negative) + 0.5 * w @ penalty @ w
+        best, least, since = (w, risk, 0) if risk < least - 1e-6 else (best, least, since + 1)
+        if since == 4:
+            break
+        if negative < 0:  # the corrected risk does not fall this way any more: raise its negative part back to 0
+            step = -0.5 * np.linalg.solve(hu / n_u + penalty, su / n_u - prior * sp / n_p)
+        else:
+            step = np.linalg.solve(hu / n_u + penalty, su / n_u - prior * xp / n_p + penalty @ w)
         step *= min(1.0, 20 / max(1e-9, np.abs(step).max()))
         w = w - step
-        if np.abs(step).max() < 1e-2:
+        if negative >= 0 and np.abs(step).max() < 1e-2:
             break
-    return w, prior
+    return best, prior
 
 
 def estimate_prior(rows: DataFrame, w: np.ndarray, bins: int = 400, least_mass: float = 0.5, z: float = 1.5) -> float:
@@ -214,16 +217,17 @@ def estimate_prior(rows: DataFrame, w: np.ndarray, bins: int = 400, least_mass:
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, cut: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted, prior) for each row of ``docs`` (doc_id, text); ``labels`` (doc_id, quality)."""
+    """(doc_id, text_hash, held_out, score, predicted, prior) for each row of ``docs`` (doc_id, text); ``labels`` (doc_id, quality). An id and
+    text_hash (xxhash64) together tell the row."""
     held_out = F.coalesce(fold("doc_id") == held_out_fold, F.lit(False))
     known = labels.select(F.col("doc_id").cast("long"), "quality").where(fold("doc_id") != held_out_fold).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    table = stored(features(docs).join(known, "doc_id", "left").select("doc_id", "x", held_out.alias("held_out"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive")), "quality")
+    table = stored(features(docs).join(known, "doc_id", "left").select("doc_id", "x", "text_hash", held_out.alias("held_out"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive")), "quality")
     weights, prior = fit(table.where("NOT held_out"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [1 / (1 + np.exp(-np.clip(expand(_matrix(batch.column(2).slice(k, 2000))) @ weights, -30, 30))) for k in range(0, batch.num_rows, 2000)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(s) if s else np.empty(0))], ["doc_id", "held_out", "score"])
+            s = [1 / (1 + np.exp(-np.clip(expand(_matrix(batch.column(3).slice(k, 2000))) @ weights, -30, 30))) for k in range(0, batch.num_rows, 2000)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(s) if s else np.empty(0))], ["doc_id", "text_hash", "held_out", "score"])
 
-    scored = table.select("doc_id", "held_out", "x").mapInArrow(task, "doc_id long, held_out boolean, score double")
+    scored = table.select("doc_id", "text_hash", "held_out", "x").mapInArrow(task, "doc_id long, text_hash long, held_out boolean, score double")
     return scored.withColumns({"predicted": (F.col("score") >= cut).cast("int"), "prior": F.lit(prior)})

@@ -50,6 +50,37 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert {r["score"] for r in quality.score(odd_docs, labels.where("false")).collect()} == {0.5}
 
 
+def risk(w, x, positive, prior, ridge):
+    """The non-negative risk with its ridge, in plain numpy, and a (sub)gradient."""
+    g, s = x @ w, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    up, down = np.logaddexp(0, -g), np.logaddexp(0, g)
+    negative = down.mean() - prior * down[positive].mean()
+    penalty = np.full(len(w), ridge)
+    penalty[0] = 1e-9
+    grad = prior * ((s - 1)[positive] @ x[positive]) / positive.sum() + penalty * w
+    if negative > 0:
+        grad = grad + s @ x / len(x) - prior * (s[positive] @ x[positive]) / positive.sum()
+    return prior * up[positive].mean() + max(0, negative) + 0.5 * w @ (penalty * w), grad
+
+
+def test_fit_reaches_the_least_risk_that_plain_descent_finds(spark):
+    docs, labels = corpus(600)
+    good = {i for i, y in labels if y}
+    x = np.stack([quality.ratios(t) for _, t in docs])
+    positive = np.array([i in good for i, _ in docs])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], bool(p)) for (i, _), r, p in zip(docs, x, positive, strict=True)], "doc_id long, x array<float>, positive boolean")
+    w, prior = quality.fit(rows)
+    wide, ridge = quality.expand(x.astype(float)), max(1e-3, 1 / positive.sum())
+    v = np.zeros(wide.shape[1])
+    m, n, least = np.zeros_like(v), np.zeros_like(v), np.inf
+    for k in range(1, 4000):
+        now, grad = risk(v, wide, positive, prior, ridge)
+        least = min(least, now)
+        m, n = 0.9 * m + 0.1 * grad, 0.999 * n + 0.001 * grad * grad
+        v = v - 0.02 * m / (1 - 0.9**k) / (np.sqrt(n / (1 - 0.999**k)) + 1e-8)
+    assert risk(w, wide, positive, prior, ridge)[0] <= least + 0.02
+
+
 def test_hats_partition_each_ratio():
     x = np.random.default_rng(1).random((50, quality.N_RATIOS))
     full = quality.expand(x)
