@@ -9,8 +9,8 @@ STAGES are applied one after another; each result is written as Parquet and read
 5. packing: the pieces of the remaining documents in sequences of at most 4096 tokens.
 
 All but the last return the columns of documents, whatever their names. Stages 1 and 3 judge each row by its own text, so rows that share an id, or have none, go
-one by one. In stage 2 an id is one document with all its texts; of rows that repeat an id with equal text one stays, and a document
-with a null id is kept. Null texts are empty; an empty table gives no rows.
+one by one. In stage 2 an id is one document with all its texts; of rows that repeat an id with equal text one stays. Documents with a
+null id are compared with no others, and of those with equal text one stays. Null texts are empty; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Candidates are the spans of the four base patterns (e-mail, IP address, card, ph
 secrets, spelt-out addresses, local phone numbers and identity numbers. Regex, gazetteer and context labelers each vote
 for, against or abstain. Candidates with the same kind, votes and shape are one *pattern*; the corpus gives a count for
 each pattern, over all documents. Expectation-maximisation over these counts estimates how reliable each labeler is and
-how likely each pattern is private; a logistic span classifier is trained on these soft labels. Base spans always stay;
+how likely each pattern is private; a logistic span classifier is trained on these soft labels, with features of the span that no labeler
+votes on (length, variety, order of characters, what stands before). Base spans always stay;
 other candidates are added if the classifier says so and they overlap nothing that is kept.
 
 The number of patterns is bounded by the code below (kinds x 3^labelers x shapes), whatever the input; only they reach the driver.
@@ -16,12 +17,14 @@ rows; other columns are ignored. Patterns are matched in time linear in the text
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import stored
 
@@ -36,15 +39,30 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?[(\[]at[)\]][ ]?[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]?[(\[]dot[)\]][ ]?)[A-Za-z0-9-]{1,63}){1,5}"), "at"),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ ]?[(\[]at[)\]][ ]?[A-Za-z0-9-]++(?:(?:\.|[ ]?[(\[]dot[)\]][ ]?)[A-Za-z0-9-]++)++"), "at"),
     ("phone", re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), None),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), None),
     ("secret", re.compile(r"(?:(?<=[=:\"'])|(?<= )(?=[0-9]*+[A-Za-z]))(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+"), None),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
 )
 
-# fixed values: gazetteers
-TOP_LEVEL = frozenset("com org net edu gov io co info de fr es uk eu ch at it nl be pl ru us ca au jp cn in br mx example".split())
+# fixed values: gazetteers. Ends of domains; country calling codes; how numbers of card issuers begin; how tokens of known services begin;
+# first parts of addresses that name no host of others; area numbers that were never given out
+TOP_LEVEL = frozenset(
+    "com org net edu gov mil int info biz name pro io co ai app dev me tv cc xyz online site shop example "
+    "ar at au be bg br ca ch cl cn co cz de dk ee es eu fi fr gr hk hr hu id ie il in ir is it jp ke kr lt lu lv ma mx my ng nl no nz "
+    "pe ph pk pl pt ro rs ru sa se sg si sk th tr tw ua uk us uy ve vn za".split()
+)
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "211 212 213 216 218 220 221 225 226 227 228 229 230 231 233 234 237 243 244 250 251 254 255 256 258 260 263 264 350 351 352 353 354 355 356 357 358 359 "
+    "370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 501 502 503 504 505 506 507 509 591 592 593 595 597 598 673 852 853 855 856 880 886 "
+    "960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 992 993 994 995 996 998"
+).split()
+ISSUERS = ("4", "51", "52", "53", "54", "55", *map(str, range(222, 273)), "34", "37", "6011", "64", "65", "35", "30", "36", "38", "39", "50", "56", "57", "58", "62", "67")
+TOKENS = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- sk_live_ sk_test_ pk_live_ rk_live_ sk- xoxb- xoxp- xoxa- AIza ya29. eyJ npm_ pypi- SG. hf_ dop_v1_ shpat_ whsec_".split()
+NO_HOST = ("0", "10", "127", *map(str, range(224, 256)))
+NO_AREA = ("000", "666", *map(str, range(900, 1000)))
 CUES = {
     "email": frozenset("mail email e-mail contact write address correo courriel kontakt".split()),
     "ip": frozenset("ip host server address addr client from serveur servidor".split()),
@@ -55,6 +73,7 @@ CUES = {
 }
 AGAINST = frozenset("version isbn issn order invoice ref page chapter section figure table doi v sha md5 commit".split())
 _WORDS = re.compile(r"[A-Za-z_-]+")
+_CALLING, _TOKENS = tuple(CALLING), tuple(TOKENS)
 
 
 def luhn(digits: str) -> bool:
@@ -103,15 +122,22 @@ def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     base = base_spans(text)
     if not any(d in text for d in "0123456789") and "at" not in text and "AKIA" not in text and "ASIA" not in text:
         return base, []
-    taken, extra = sorted((a, b) for a, b, _ in base), []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b, _ in sorted(base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    extra = []
     for kind, pattern, needs in _LOOSE:
         if needs and f"({needs})" not in text and f"[{needs}]" not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, y in taken):
+            k = bisect_left(taken, (a, b))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
                 extra.append((a, b, kind))
-                taken.append((a, b))
+                taken.insert(k, (a, b))
     return base, extra
 
 
@@ -124,7 +150,7 @@ def votes(text: str, a: int, b: int, kind: str, is_base: bool) -> tuple[int, ...
     if kind == "card":
         form = luhn(digits) and len(set(digits)) > 2
     elif kind == "ip":
-        form = span.split(".")[0] not in ("0", "127", "255")
+        form = not any(len(p) > 1 and p[0] == "0" for p in span.split("."))
     elif kind == "phone":
         form = 9 <= len(digits) <= 15 and len(set(digits)) > 2
     elif kind == "email":
@@ -132,13 +158,20 @@ def votes(text: str, a: int, b: int, kind: str, is_base: bool) -> tuple[int, ...
     elif kind == "secret":
         form = len(digits) >= 2 and len(set(span)) >= 8
     else:
-        form = not span.startswith(("000", "666", "9")) and "-00-" not in span
+        form = "-00-" not in span and not span.endswith("0000")
+    # names listed for the kind: 1 if the span has one of them, 0 if that speaks against it, 2 if the list is silent
     if kind == "email":
-        gazetteer = 1 if re.split(r"\.|dot[)\]] ?", span)[-1].strip().lower() in TOP_LEVEL else 0
-    elif kind == "secret" and span.startswith(("AKIA", "ASIA")):
-        gazetteer = 1
+        gazetteer = int(re.split(r"\.|dot[)\]] ?", span)[-1].strip().lower() in TOP_LEVEL)
+    elif kind == "phone":
+        gazetteer = int(digits.startswith(_CALLING)) if span.startswith("+") else 2
+    elif kind == "card":
+        gazetteer = int(digits.startswith(ISSUERS))
+    elif kind == "ip":
+        gazetteer = 0 if span.split(".")[0] in NO_HOST or span.startswith(("192.168.", "169.254.")) else 2
+    elif kind == "secret":
+        gazetteer = 1 if span.startswith(_TOKENS) else 2
     else:
-        gazetteer = 2
+        gazetteer = 0 if span.startswith(NO_AREA) else 2
     cue = CUES[kind]
     context = 1 if any(w in cue for w in (*before, *after)) else 0 if any(w in AGAINST for w in before) else 2
     alone = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
@@ -147,10 +180,15 @@ def votes(text: str, a: int, b: int, kind: str, is_base: bool) -> tuple[int, ...
 
 
 def pattern(text: str, a: int, b: int, kind: str, is_base: bool) -> str:
-    """Kind, votes, length class and the classes of characters in the span."""
+    """Kind, votes, and what labelers do not look at: length, classes of characters, variety of characters, kinds of character in a row, and
+    what stands before the span, each in a few classes."""
     span = text[a:b]
     shape = "".join(s for s, has in (("d", any("0" <= c <= "9" for c in span)), ("u", any(c.isupper() for c in span)), ("l", any(c.islower() for c in span))) if has)
-    return f"{kind}|{''.join(map(str, votes(text, a, b, kind, is_base)))}|{min(7, (b - a) // 6)}|{shape}"
+    variety = min(3, 4 * len(set(span)) // (b - a + 1))
+    turns = min(3, sum(x.isdigit() != y.isdigit() for x, y in zip(span, span[1:], strict=False)) // 2)
+    before = text[a - 1 : a]
+    front = 0 if not before or before.isspace() else 1 if before in "=:\"'" else 2 if before.isalnum() else 3
+    return f"{kind}|{''.join(map(str, votes(text, a, b, kind, is_base)))}|{min(7, (b - a) // 6)}{variety}{turns}{front}|{shape}"
 
 
 CANDIDATES = "doc_id long, base array<struct<a:long,b:long,kind:string>>, extra array<struct<a:long,b:long,kind:string,pattern:string>>, base_patterns array<string>"
@@ -204,10 +242,10 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
 
 
 def _features(key: str) -> np.ndarray:
-    kind, vote, length, shape = key.split("|")
+    kind, vote, classes, shape = key.split("|")
     x = [1.0] + [float(kind == k) for k in KINDS]
     x += [float(v == w) for v in vote for w in "01"]
-    x += [float(int(length) == k) for k in range(8)] + [float(c in shape) for c in "dul"]
+    x += [float(int(c) == k) for c, n in zip(classes, (8, 4, 4, 4), strict=True) for k in range(n)] + [float(c in shape) for c in "dul"]
     return np.array(x)
 
 
@@ -285,4 +323,7 @@ def redact(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
             new = pa.array([None if (t := v.as_py()) is None else clean(t) for v in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(task, docs.schema)
+    # columns travel under plain names: those of the input may hold dots
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    return docs.toDF(*names).mapInArrow(task, plain).toDF(*docs.columns)

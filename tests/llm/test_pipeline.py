@@ -61,6 +61,34 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert decontam.terms_of(None) == []
 
 
+def test_odd_rows_in_every_stage(spark, sf_dir):
+    """Columns named like those used inside, null ids, ids that repeat with other texts, empty and very long texts: each stage
+    keeps all columns and takes away what it should, row by row."""
+    junk, good = prose(905, 60).upper().replace(" ", "!! "), [prose(20 + k, 60) for k in range(6)]
+    leak = good[3] + " " + prose(7777, 40) + ". " + prose(3001, 30)
+    rows = [(None, good[0]), (None, junk), (7, good[1]), (7, junk), (7, good[2]), (8, None), (9, ""), (10, prose(31, 60_000)), (None, leak), (11, leak), (11, good[4]), (12, good[5]), (12, good[5]), (None, good[0])]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "rejected_id", "dropped_id", "leaking_id", "row_id", "ROW_TEXT", "text_hash", "__copy", "a.b", "item_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names[5:])
+    docs = spark.createDataFrame([(i, t, None, "s", k, *("v" for _ in names[5:])) for k, (i, t) in enumerate(rows)], schema)
+    whole = docs.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"), allowMissingColumns=True)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.where("source = 's' AND item_id = 'v'").collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, whole, sf_dir)
+    assert kept.columns == names and [r for r in left(kept) if r[1]] == sorted((r for r in rows if r[1] and r[1] != junk), key=repr)
+    one = stages["near_duplicates"](spark, docs, sf_dir)
+    assert one.columns == names and one.where("`a.b` = 'v'").count() == one.count()
+    # of rows that repeat an id with equal text, or a text without id, one stays
+    assert left(one) == sorted([r for k, r in enumerate(rows) if k not in (12, 13)], key=repr)
+    clean = stages["decontamination"](spark, docs, sf_dir)
+    assert clean.columns == names and left(clean) == sorted((r for r in rows if r[1] != leak), key=repr)
+    masked = stages["personal_data"](spark, docs, sf_dir)
+    assert masked.columns == names and masked.count() == len(rows)
+    packed = stages["packing"](spark, docs, sf_dir)
+    assert packed.where("start = 0").count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0, name
+
+
 def test_run_and_empty_table(spark, sf_dir, tmp_path):
     whole = corpus_pipeline.run(spark, sf_dir)
     assert whole.where("doc_id = 501").count() >= 1
