@@ -53,9 +53,10 @@ def merge_sorted(a: Column, b: Column) -> Column:
 
 
 def merge_weighted(a: Column, b: Column) -> Column:
-    """Union of sorted arrays of (nbr, w); of a neighbor in both the left weight stays."""
-    ids = F.transform(a, lambda x: x["nbr"])
-    return F.array_sort(F.concat(a, F.filter(b, lambda y: ~F.array_contains(ids, y["nbr"]))))
+    """Union of arrays of (nbr, weight), sorted by neighbor; of a neighbor in both the left weight stays."""
+    as_map = lambda x: F.map_from_entries(x)
+    both = F.map_zip_with(as_map(_or_empty(a, b)), as_map(_or_empty(b, a)), lambda _, x, y: F.coalesce(x, y))
+    return F.array_sort(F.transform(F.map_entries(both), lambda e: F.struct(e["key"].alias("nbr"), e["value"].alias("weight"))))
 
 
 def set_difference(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ class PropertyGraph:
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
         return PropertyGraph(self.vertices, edges)
 
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> PropertyGraph:
+        """Keeps both tables with the executors once they are computed; a lost executor's part is computed again."""
+        return PropertyGraph(self.vertices.persist(level), self.edges.persist(level))
+
+    def unpersist(self) -> PropertyGraph:
+        return PropertyGraph(self.vertices.unpersist(), self.edges.unpersist())
+
+    def repartition(self, n: int) -> PropertyGraph:
+        """Vertices by id and edges by source, in ``n`` partitions."""
+        return PropertyGraph(self.vertices.repartition(n, "id"), self.edges.repartition(n, "src"))
+
     @property
     def edge_attributes(self) -> list[str]:
         return [c for c in self.edges.columns if c not in ("src", "dst")]

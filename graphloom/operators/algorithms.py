@@ -120,9 +120,9 @@ class SvdModel:
 def svd_plus_plus(edges: DataFrame, rating: str = "rating", conf: SvdConf = SvdConf()) -> SvdModel:
     """SVD++ over user -> item edges. Factors are plain double columns, so both phases are joins and sums inside generated code."""
     if conf.max_iterations <= 0:
-        raise ValueError(f"Maximum of iterations must be greater than 0, but got {conf.max_iterations}")
+        raise ValueError(f"at least one iteration is needed, not {conf.max_iterations}")
     if conf.max_value <= conf.min_value:
-        raise ValueError(f"MaxVal must be greater than MinVal, but got {conf.min_value} and {conf.max_value}")
+        raise ValueError(f"the largest rating {conf.max_value} must be above the smallest {conf.min_value}")
     r = range(conf.rank)
     ratings = cut(edges.select("src", "dst", F.col(rating).cast("double").alias("rating")))
     mean = ratings.agg(F.avg("rating")).first()[0] or 0.0

@@ -7,10 +7,12 @@ weight stays; else the smallest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import merge_sorted
+from ..functions.scalar import merge_sorted, merge_weighted
 from ..model import EdgeDirection, PropertyGraph, directed
 
 OUT = EdgeDirection.OUT
@@ -80,8 +82,27 @@ def _maps(lists: DataFrame) -> DataFrame:
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two adjacency tables (id, neighbors)."""
+    return _merged(a, b, merge_sorted)
+
+
+def merge_weighted_tables(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union of two weighted adjacency tables; of a neighbor in both the weight of ``a`` stays."""
+    return _merged(a, b, merge_weighted)
+
+
+def merge_typed_tables(a: DataFrame, b: DataFrame, weighted: bool = False) -> DataFrame:
+    """Union of two typed adjacency tables (id, type, neighbors), list by list of a type. A vertex whose type differs raises."""
+    lists = merge_weighted if weighted else merge_sorted
+    maps = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.map_zip_with(x, y, lambda _, p, q: lists(p, q)))
+    other = b.select("id", F.col("type").alias("__type"), F.col("neighbors").alias("__more"))
+    wrong = F.raise_error(F.concat(F.lit("two types of vertex "), F.col("id").cast("string"))).cast(a.schema["type"].dataType)
+    kind = F.when(F.col("type") != F.col("__type"), wrong).otherwise(F.coalesce("type", "__type"))
+    return a.join(other, "id", "full").select("id", kind.alias("type"), maps(F.col("neighbors"), F.col("__more")).alias("neighbors"))
+
+
+def _merged(a: DataFrame, b: DataFrame, lists: Callable[[Column, Column], Column]) -> DataFrame:
     other = b.select("id", F.col("neighbors").alias("__more"))
-    return a.join(other, "id", "full").select("id", merge_sorted(F.col("neighbors"), F.col("__more")).alias("neighbors"))
+    return a.join(other, "id", "full").select("id", lists(F.col("neighbors"), F.col("__more")).alias("neighbors"))
 
 
 def has_neighbor(neighbors: Column, x: Column) -> Column:
@@ -95,7 +116,7 @@ def has_typed_neighbor(neighbors: Column, kind: Column, x: Column) -> Column:
 
 
 def neighbors_of_type(neighbors: Column, kind: Column) -> Column:
-    return F.coalesce(F.try_element_at(neighbors, kind), F.raise_error(F.concat(F.lit("the type "), kind.cast("string"), F.lit(" is not exist!"))))
+    return F.coalesce(F.try_element_at(neighbors, kind), F.raise_error(F.concat(F.lit("no neighbors of type "), kind.cast("string"))))
 
 
 def pairs_in(edges: DataFrame, pairs: DataFrame, direction: EdgeDirection = OUT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import wrapped_abs, wrapped_product
+from ..functions.scalar import uniform, wrapped_abs, wrapped_product
 
 #: Multiplier that spreads ids (a fixed value).
 MIXING_PRIME = 1125899906842597
@@ -32,12 +32,12 @@ def edge_partition_2d(n: int) -> Column:
 
 def random_vertex_cut(n: int) -> Column:
     """All edges from one vertex to another together."""
-    return F.pmod(F.xxhash64("src", "dst"), F.lit(n)).cast("int")
+    return F.floor(uniform("cut", F.col("src"), F.col("dst")) * n).cast("int")
 
 
 def canonical_random_vertex_cut(n: int) -> Column:
     """All edges between two vertices together, whatever their direction."""
-    return F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(n)).cast("int")
+    return F.floor(uniform("cut", F.least("src", "dst"), F.greatest("src", "dst")) * n).cast("int")
 
 
 STRATEGIES = {
@@ -50,10 +50,21 @@ STRATEGIES = {
 
 def strategy(name: str):
     if name not in STRATEGIES:
-        raise ValueError(f"Invalid PartitionStrategy: {name}")
+        raise ValueError(f"no partition strategy {name}: one of {', '.join(STRATEGIES)}")
     return STRATEGIES[name]
 
 
 def partition_by(edges: DataFrame, name: str, n: int) -> DataFrame:
     """Edges with their partition number ``pid``, and brought to it."""
     return edges.withColumn("pid", strategy(name)(n)).repartition(n, "pid")
+
+
+def by_id_range(vertices: DataFrame, n: int) -> DataFrame:
+    """Vertices in ``n`` partitions of neighbouring ids, of about equal size."""
+    return vertices.repartitionByRange(n, "id")
+
+
+def id_range_partition(n: int, low: int, high: int) -> Column:
+    """The number of the range of ``id`` when [low, high] is cut into ``n`` ranges of equal width."""
+    width = -(-(high - low + 1) // n)
+    return F.floor((F.col("id") - low) / F.lit(width)).cast("int")

@@ -5,6 +5,8 @@ All randomness is ``uniform(seed, ...)`` of the keys of a row, so results do not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,21 @@ def with_cumulative(rows: DataFrame, weight: str = "weight", key: str = "id", or
     return rows.withColumn("cum", F.sum(weight).over(w)).withColumn("total", F.sum(weight).over(Window.partitionBy(key)))
 
 
+def with_cells(rows: DataFrame, weight: str = "weight", key: str = "id", order: str = "nbr") -> DataFrame:
+    """The running sums of ``with_cumulative``, once for each ``cell`` that they meet: [0, 1) is cut into as many cells as the list has neighbors (``n``), so a
+    draw u reads the rows of cell floor(u n), two of them on average, however long the list is. A list of n neighbors has at most 2 n rows."""
+    of = Window.partitionBy(key)
+    cum = with_cumulative(rows.where(F.col(weight) > 0), weight, key, order).withColumn("n", F.count(F.lit(1)).over(of))
+    # a little wider than the sums say, so that rounding moves no draw out of its row's cells
+    at = lambda x, more: F.least(F.greatest(F.floor(x / F.col("total") * F.col("n") + more), F.lit(0)), F.col("n") - 1)
+    return cum.withColumn("cell", F.explode(F.sequence(at(F.col("cum") - F.col(weight), -1e-6), at(F.col("cum"), 1e-6))))
+
+
 def one_uniform(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """(id, nbr): one neighbor of each vertex of ``rows`` (id, nbr)."""
-    u = uniform(seed, "one", F.col(key))
-    return with_index(rows, key).where(F.col("k") == F.floor(u * F.col("n"))).select(key, "nbr")
+    """(id, nbr): one neighbor of each vertex of ``rows`` (id, nbr), that with the smallest uniform. Partial minima in the map tasks leave a
+    row of each vertex to move, also for hubs."""
+    u = uniform(seed, "one", F.col(key), F.col("nbr"))
+    return rows.groupBy(key).agg(F.min_by("nbr", F.struct(u.alias("u"), F.col("nbr"))).alias("nbr"))
 
 
 def k_uniform(rows: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
@@ -36,10 +49,9 @@ def k_uniform(rows: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
 
 
 def one_weighted(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """(id, nbr): one neighbor with probability in proportion to ``weight``, by the inverse of the running sum."""
-    u = uniform(seed, "one", F.col(key))
-    hit = (F.col("cum") > u * F.col("total")) & (F.col("cum") - F.col("weight") <= u * F.col("total"))
-    return with_cumulative(rows, key=key).where(hit & (F.col("weight") > 0)).select(key, "nbr")
+    """(id, nbr): one neighbor with probability in proportion to ``weight``: that with the largest ln(u) / weight, by partial maxima."""
+    score = F.ln(uniform(seed, "one", F.col(key), F.col("nbr"))) / F.col("weight")
+    return rows.where("weight > 0").groupBy(key).agg(F.max_by("nbr", F.struct(score.alias("s"), (-F.col("nbr")).alias("n"))).alias("nbr"))
 
 
 def k_weighted(rows: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
@@ -55,11 +67,20 @@ def _top(rows: DataFrame, k: int, order: list[Column], key: str) -> DataFrame:
 
 def one_of_type(rows: DataFrame, kind: int, seed: int, strict: bool = False) -> DataFrame:
     """(id, nbr): one neighbor of a type; with ``strict`` a vertex without such neighbors raises."""
-    chosen = one_uniform(rows.where(F.col("nbr_type") == kind), seed)
+    return _of_type(rows, kind, strict, lambda r: one_uniform(r, seed))
+
+
+def k_of_type(rows: DataFrame, kind: int, k: int, seed: int, weighted: bool = False, strict: bool = False) -> DataFrame:
+    """(id, nbr): k neighbors of a type without replacement, uniformly or by ``weight``; all of a shorter list."""
+    return _of_type(rows, kind, strict, lambda r: (k_weighted if weighted else k_uniform)(r, k, seed))
+
+
+def _of_type(rows: DataFrame, kind: int, strict: bool, pick: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    chosen = pick(rows.where(F.col("nbr_type") == kind))
     if not strict:
         return chosen
     every = rows.select("id").distinct().join(chosen, "id", "left")
-    gone = F.raise_error(F.lit(f"the type {kind} is not exist!")).cast("long")
+    gone = F.raise_error(F.lit(f"a vertex has no neighbor of type {kind}")).cast("long")
     return every.withColumn("nbr", F.when(F.col("nbr").isNull(), gone).otherwise(F.col("nbr")))
 
 

@@ -21,7 +21,7 @@ def join_vertices(g: PropertyGraph, other: DataFrame, attr: str, update: Callabl
     if strict:
         unknown = other.join(g.vertices, "id", "left_anti").select("id").first()
         if unknown:
-            raise KeyError(f"Cannot find key {unknown['id']}")
+            raise KeyError(f"{unknown['id']} is no vertex")
     side = other.select("id", F.col(value).alias("__value"), F.lit(True).alias("__hit"))
     return g.with_vertices(g.vertices.join(side, "id", "left").withColumn(attr, F.when(F.col("__hit"), update(F.col(attr), F.col("__value"))).otherwise(F.col(attr))).drop("__value", "__hit"))
 

@@ -1,7 +1,7 @@
 """Random walks: first order (uniform or weighted), second order, and along a path of types.
 
-A walk is (start, walk, path). Each step joins the walks' ends with the neighbor table in long form, by place in the vertex's list where
-all neighbors are alike, so a hub costs a walk no more than a leaf; a walk that meets a vertex without (suitable) neighbors ends there.
+A walk is (start, walk, path). Each step joins the walks' ends with the neighbor table in long form, by place in the vertex's list or, with
+weights, by cell of its running sum, so a hub costs a walk no more than a leaf; a walk that meets a vertex without (suitable) neighbors ends there.
 Steps are seeded by start, walk and position. A step reads the walks once, so plans grow by a join or two a step.
 """
 
@@ -50,7 +50,8 @@ def deepwalk(
 ) -> DataFrame:
     """First-order walks of at most ``path_length`` vertices from every vertex; with ``weighted`` in proportion to ``weight``."""
     if weighted:
-        table = cut(sampling.with_cumulative(neighbors.weighted_rows(edges, direction)))
+        table = cut(sampling.with_cells(neighbors.weighted_rows(edges, direction)))
+        lengths = table.select(F.col("id").alias("cur"), "n").distinct()
     else:
         table = cut(sampling.with_index(neighbors.plain_rows(edges, direction)))
         lengths = table.where("k = 0").select(F.col("id").alias("cur"), "n")
@@ -58,9 +59,10 @@ def deepwalk(
     for position in range(1, path_length):
         u = _u(seed, "walk", position)
         if weighted:
-            here = walks.withColumn("u", u).alias("w").join(
-                table.alias("t"), F.expr("w.cur = t.id AND t.cum > w.u * t.total AND t.cum - t.weight <= w.u * t.total AND t.weight > 0"), "left"
-            )
+            ends = walks.join(lengths, "cur", "left").withColumn("u", u).withColumn("cell", F.floor(F.col("u") * F.col("n"))).drop("n")
+            here = ends.alias("w").join(
+                table.alias("t"), F.expr("w.cur = t.id AND w.cell = t.cell AND t.cum > w.u * t.total AND t.cum - t.weight <= w.u * t.total"), "left"
+            ).select("w.*", "t.nbr")
         else:
             picked = walks.join(lengths, "cur", "left").withColumn("k", F.floor(u * F.col("n")).cast("int")).drop("n")
             here = picked.join(table.select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"], "left")
@@ -71,24 +73,35 @@ def deepwalk(
 
 
 def node2vec(
-    edges: DataFrame, path_length: int = DEFAULT_LENGTH, p: float = 1.0, q: float = 0.8, seed: int = 1, walks_per_vertex: int = 1, direction: EdgeDirection = EdgeDirection.BOTH
+    edges: DataFrame, path_length: int = DEFAULT_LENGTH, p: float = 1.0, q: float = 0.8, seed: int = 1, walks_per_vertex: int = 1, direction: EdgeDirection = EdgeDirection.BOTH, tries: int = 6
 ) -> DataFrame:
     """Second-order walks: a candidate weighs 1/p if it is where the walk came from, 1 if it is adjacent to that, else 1/q.
 
-    Candidates are all neighbors of the end, so a step reads the walks twice and is written before the next."""
-    rows = cut(neighbors.plain_rows(edges, direction))
-    table = rows.select(F.col("id").alias("cur"), "nbr")
-    known = rows.select(F.col("id").alias("prev"), "nbr", F.lit(True).alias("near"))
+    By rejection: a step draws ``tries`` neighbors uniformly by place, tells by a join which are adjacent to the vertex before, and takes the first that is accepted with
+    probability weight / largest weight. Walks of which none is accepted (few, unless p or q is extreme) weigh all neighbors of their
+    end; the distribution is exact either way, and a hub costs most walks no more than a leaf."""
+    rows = neighbors.plain_rows(edges, direction)
+    table = cut(sampling.with_index(rows).withColumnRenamed("id", "cur"))
+    known = table.select(F.col("cur").alias("prev"), "nbr", F.lit(True).alias("near"))
+    lengths = table.where("k = 0").select("cur", "n")
     walks = _starts(endpoints(edges), walks_per_vertex)
+    most = max(1 / p, 1.0, 1 / q)
+    weight = F.when(F.col("prev").isNull(), F.lit(most)).when(F.col("nbr") == F.col("prev"), F.lit(1 / p)).when(F.col("near"), F.lit(1.0)).otherwise(F.lit(1 / q))
     w = Window.partitionBy("start", "walk")
     running = w.orderBy("nbr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for position in range(1, path_length):
-        ends = walks.where("cur IS NOT NULL").select("start", "walk", "cur", "prev", _u(seed, "node2vec", position).alias("u"))
-        options = ends.join(table, "cur").join(known, ["prev", "nbr"], "left")
-        weight = F.when(F.col("prev").isNull(), F.lit(1.0)).when(F.col("nbr") == F.col("prev"), F.lit(1 / p)).when(F.col("near"), F.lit(1.0)).otherwise(F.lit(1 / q))
-        step = options.withColumn("w", weight).withColumn("cum", F.sum("w").over(running)).withColumn("total", F.sum("w").over(w))
-        step = step.where((F.col("cum") > F.col("u") * F.col("total")) & (F.col("cum") - F.col("w") <= F.col("u") * F.col("total")))
-        walks = cut(_moved(walks.join(step.select("start", "walk", "nbr"), ["start", "walk"], "left")))
+        ends = walks.where("cur IS NOT NULL").select("start", "walk", "cur", "prev").join(lengths, "cur")
+        # the first step takes its first draw
+        drawn = ends.withColumn("try", F.explode(F.sequence(F.lit(0), F.when(F.col("prev").isNull(), 0).otherwise(tries - 1))))
+        drawn = drawn.withColumn("k", F.floor(uniform(seed, "node2vec", F.col("start"), F.col("walk"), position, F.col("try")) * F.col("n")).cast("int")).drop("n")
+        told = drawn.join(table.select("cur", "k", "nbr"), ["cur", "k"]).join(known, ["prev", "nbr"], "left")
+        accepted = uniform(seed, "accept", F.col("start"), F.col("walk"), position, F.col("try")) * most < weight
+        picked = told.groupBy("start", "walk", "cur", "prev").agg(F.min_by("nbr", F.when(accepted, F.col("try"))).alias("nbr"))
+        options = picked.where("nbr IS NULL").drop("nbr").join(table.select("cur", "nbr"), "cur").join(known, ["prev", "nbr"], "left")
+        step = options.withColumn("w", weight).withColumn("cum", F.sum("w").over(running)).withColumn("u", _u(seed, "node2vec", position) * F.sum("w").over(w))
+        step = step.where((F.col("cum") > F.col("u")) & (F.col("cum") - F.col("w") <= F.col("u"))).select("start", "walk", "nbr")
+        chosen = picked.where("nbr IS NOT NULL").select("start", "walk", "nbr").unionAll(step)
+        walks = cut(_moved(walks.join(chosen, ["start", "walk"], "left")))
     return _finish(walks)
 
 
@@ -107,7 +120,7 @@ def metapath(
         length = lengths.where(F.col("nbr_type") == kind).drop("nbr_type")
         picked = walks.join(length, "cur", "left").withColumn("k", F.floor(_u(seed, "metapath", position) * F.col("n")).cast("int")).drop("n")
         here = picked.join(table.where(F.col("nbr_type") == kind).select(F.col("id").alias("cur"), "k", "nbr"), ["cur", "k"], "left")
-        walks = _moved(here, or_raise=f"the type {kind} is not exist!" if strict else None)
+        walks = _moved(here, or_raise=f"a walk finds no neighbor of type {kind}" if strict else None)
         if position % checkpoint_every == 0:
             walks = cut(walks)
     return _finish(walks)

@@ -222,6 +222,31 @@ def get_slot(spark, d):
     return vertex_state.get_slot(vertex_state.update_slot(_ps(spark, d), "deg", _keyed(spark, d), lambda old, u: u), "deg")
 
 
+@query
+def remove_slot(spark, d):
+    g = vertex_state.update_slot(vertex_state.create_slot(_ps(spark, d), "other", "string"), "deg", _keyed(spark, d), lambda old, u: u)
+    return vertex_state.remove_slot(vertex_state.remove_slot(g, "other"), "other").vertices
+
+
+@query
+def checkpointed_graph(spark, d):
+    g = vertex_state.checkpoint(transform.map_vertices(_ps(spark, d), attr=F.pmod("id", F.lit(10))))
+    return g.triplets(["src"]).groupBy("src_vertex.attr").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def active_count(spark, d):
+    g = _ps(spark, d)
+    g = transform.with_active_set(g, g.vertices.where("id % 4 = 1"))
+    return spark.createDataFrame([(degrees.active_count(g),)], "n bigint")
+
+
+@query
+def graph_from_text(spark, d):
+    lines = tables.part_supplier(spark, d).select(F.concat_ws(" ", "src", "dst", "weight").alias("value"))
+    return loaders.graph_from_text(spark, _written(spark, lines)).vertices
+
+
 @query
 def attach_labels(spark, d):
     labels = tables.table(spark, d, "part").select(tables.vertex("p_partkey", tables.PART).alias("id"), F.col("p_size").alias("label")).where("label <= 25")
@@ -339,6 +364,58 @@ def neighbors_merge(spark, d):
     return _positions(neighbors.merge(neighbors.plain(e.where("weight % 2 = 0")), neighbors.plain(e.where("weight % 3 = 0"))))
 
 
+@query
+def neighbors_merge_weighted(spark, d):
+    e = tables.user_events(spark, d)
+    more = e.withColumn("weight", F.col("weight") + 100)
+    return _positions(neighbors.merge_weighted_tables(neighbors.weighted(e.where("weight % 2 = 0")), neighbors.weighted(more))).select("id", "pos", "nbr.nbr", "nbr.weight")
+
+
+@query
+def neighbors_merge_typed(spark, d):
+    e = tables.typed(spark, d)
+    both = neighbors.merge_typed_tables(neighbors.typed(e.where("src % 3 <> 0"), BOTH), neighbors.typed(e.where("src % 2 = 0"), BOTH))
+    return _typed_positions(both).select("id", "type", "nbr_type", "pos", "nbr")
+
+
+@query
+def neighbors_merge_typed_weighted(spark, d):
+    e = tables.typed(spark, d)
+    more = e.withColumn("weight", F.col("weight") + 10)
+    both = neighbors.merge_typed_tables(neighbors.typed_weighted(e.where("src % 3 <> 0")), neighbors.typed_weighted(more), weighted=True)
+    return _typed_positions(both).select("id", "type", "nbr_type", "pos", "nbr.nbr", "nbr.weight")
+
+
+def _typed_positions(df: DataFrame) -> DataFrame:
+    lists = df.select("id", "type", F.explode("neighbors").alias("nbr_type", "list"))
+    return lists.select("id", "type", "nbr_type", F.posexplode("list").alias("pos", "nbr"))
+
+
+@query
+def adjacency_slot(spark, d):
+    """Adjacency of a text file's graph, as a slot."""
+    e = tables.part_supplier(spark, d)
+    g = loaders.graph_from_text(spark, _written(spark, e.select(F.concat_ws(" ", "src", "dst").alias("value"))))
+    return neighbors.with_adjacency(g, BOTH).vertices.select("id", F.posexplode("slot_neighbor").alias("pos", "nbr"))
+
+
+@query
+def adjacency_typed(spark, d):
+    """Typed weighted adjacency of a typed text file's graph, as a vertex attribute."""
+    lines = tables.typed(spark, d).select(F.concat_ws(" ", "src", "src_type", "dst", "dst_type", "weight").alias("value"))
+    e = loaders.any_edges_from_text(spark, _written(spark, lines)).withColumn("weight", F.col("weight").cast("double"))
+    g = loaders.graph_with_adjacency(e, "typed_weighted", OUT, "adj")
+    lists = g.vertices.select("id", F.explode("adj").alias("nbr_type", "list"))
+    return lists.select("id", "nbr_type", F.posexplode("list").alias("pos", "e")).select("id", "nbr_type", "pos", "e.nbr", "e.weight")
+
+
+@query
+def has_typed_neighbor(spark, d):
+    """Of customers and suppliers, which all have a nation: whether they are of nation 0."""
+    t = neighbors.typed(tables.typed(spark, d), OUT).where(F.col("type").isin(tables.CUSTOMER, tables.SUPPLIER))
+    return t.select("id", neighbors.has_typed_neighbor(F.col("neighbors"), F.lit(tables.NATION).cast("short"), F.lit(4)).cast("int").alias("found"))
+
+
 @query
 def has_neighbor(spark, d):
     e = tables.part_supplier(spark, d)
@@ -386,6 +463,16 @@ def sample_one_typed(spark, d):
     return sampling.one_of_type(neighbors.typed_rows(tables.typed(spark, d), BOTH), tables.CUSTOMER, SEED)
 
 
+@query
+def sample_k_typed(spark, d):
+    return sampling.k_of_type(neighbors.typed_rows(tables.typed(spark, d), BOTH), tables.CUSTOMER, 3, SEED)
+
+
+@query
+def sample_k_typed_weighted(spark, d):
+    return sampling.k_of_type(neighbors.typed_weighted_rows(tables.typed(spark, d), BOTH), tables.CUSTOMER, 3, SEED, weighted=True)
+
+
 @query
 def sample_vertices_k(spark, d):
     return sampling.vertices(_ps(spark, d).vertices, 50, SEED)
@@ -415,6 +502,13 @@ def partition_canonical(spark, d):
     return partitioning.partition_by(tables.part_supplier(spark, d), "CanonicalRandomVertexCut", 8).select("src", "dst", "pid")
 
 
+@query
+def partition_id_range(spark, d):
+    v = _ps(spark, d).vertices
+    ends = degrees.vertex_id_range(tables.part_supplier(spark, d)).first()
+    return v.select("id", partitioning.id_range_partition(7, ends["min_id"], ends["max_id"]).alias("pid"))
+
+
 def _sorted(order):
     return lambda spark, d: transform.sorted_positions(PropertyGraph.from_edges(tables.part_supplier(spark, d).select("src", "dst")), order)
 
@@ -465,6 +559,23 @@ def map_functions(spark, d):
     return both.select("src", F.explode(merged).alias("dst", "weight"))
 
 
+@query
+def map_updates(spark, d):
+    """The value of a key or a default, the union in which the right side stays, and a map without a key."""
+    e = tables.user_events(spark, d)
+
+    def as_map(rows):
+        return rows.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("m"))
+
+    both = as_map(e).join(as_map(e.where("weight % 2 = 0").withColumn("weight", -F.col("weight"))).withColumnRenamed("m", "o"), "src")
+    low = F.array_min(F.map_keys("m"))
+    size = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return both.select(
+        "src", scalar.map_get(F.col("m"), low, F.lit(-1)).alias("lowest"), scalar.map_get(F.col("m"), F.lit(-5), F.lit(-1)).cast("int").alias("missing"),
+        size(scalar.map_update(F.col("m"), F.col("o"))).alias("updated"), size(scalar.map_remove(F.col("m"), low)).alias("rest"),
+    )
+
+
 def _id_sets(spark, d):
     v = _ps(spark, d).vertices
     return v.where("id % 3 = 0"), v.where("id % 2 = 0")

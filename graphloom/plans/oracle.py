@@ -34,6 +34,7 @@ def _ends(table: str) -> str:
     return f"(SELECT src AS id FROM {table} UNION SELECT dst FROM {table})"
 
 
+_TO_CUSTOMER = "c AS (SELECT id, nbr, min(weight) AS weight FROM (SELECT src AS id, dst AS nbr, dst_type AS t, weight FROM typed UNION ALL SELECT dst, src, src_type, weight FROM typed) WHERE t = 0 GROUP BY 1, 2)"
 _KEYED = "keyed AS (SELECT src AS id, count(*) AS value FROM ps GROUP BY 1 HAVING src % 3 = 0)"
 
 
@@ -88,13 +89,32 @@ ORACLE: dict[str, str] = {
     "aggregate_messages_src_only": _with(_PS) + "SELECT dst AS id, sum(weight)::BIGINT AS msg FROM ps WHERE src % 5 < 2 GROUP BY 1",
     "has_neighbor": _with(_PS) + "SELECT src AS id, max((dst = 9)::INT) AS found FROM ps GROUP BY 1",
     "has_neighbor_pairs": _with(_PS) + "SELECT src AS id, dst + 8 AS nbr, EXISTS (SELECT 1 FROM ps q WHERE q.src = p.src AND q.dst = p.dst + 8)::INT AS found FROM ps p",
-    "common_neighbors": _with(_COP, f"n AS (SELECT DISTINCT id, nbr FROM {_both('cop')})", "q AS (SELECT src AS a, dst AS b FROM cop WHERE src % 5 = 0)") + """
+    "common_neighbors": _with(_COP, f"n AS (SELECT DISTINCT id, nbr FROM {_both('cop')})", "q AS (SELECT src AS a, dst AS b FROM cop)") + """
         SELECT q.a, q.b, count(y.nbr) AS common FROM q LEFT JOIN n x ON x.id = q.a LEFT JOIN n y ON y.id = q.b AND y.nbr = x.nbr GROUP BY 1, 2""",
-    "sample_one_uniform": _with(_PS, f"n AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY nbr) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, nbr FROM {_both('ps')}))") + f"SELECT id, nbr FROM n WHERE k = floor({_u(f"'{SEED}'", "'one'", 'id')} * n)",
+    "sample_one_uniform": _with(_PS, f"n AS (SELECT DISTINCT id, nbr FROM {_both('ps')})") + f"SELECT id, arg_min(nbr, {_u(f"'{SEED}'", "'one'", 'id', 'nbr')}) AS nbr FROM n GROUP BY 1",
     "sample_k_uniform": _with(_PS, f"n AS (SELECT DISTINCT id, nbr FROM {_both('ps')})") + f"SELECT id, nbr FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_u(f"'{SEED}'", "'k'", 'id', 'nbr')}, nbr) <= 3",
-    "sample_one_weighted": _with(_EVENT, "c AS (SELECT src AS id, dst AS nbr, weight, sum(weight) OVER (PARTITION BY src ORDER BY dst) AS cum, sum(weight) OVER (PARTITION BY src) AS total FROM ev)") + f"SELECT id, nbr FROM (SELECT *, {_u(f"'{SEED}'", "'one'", 'id')} * total AS u FROM c) WHERE cum > u AND cum - weight <= u",
+    "sample_one_weighted": _with(_EVENT) + f"SELECT src AS id, arg_max(dst, ln({_u(f"'{SEED}'", "'one'", 'src', 'dst')}) / weight) AS nbr FROM ev GROUP BY 1",
     "sample_k_weighted": _with(_PS) + f"SELECT src AS id, dst AS nbr FROM ps QUALIFY row_number() OVER (PARTITION BY src ORDER BY ln({_u(f"'{SEED}'", "'k'", 'src', 'dst')}) / weight DESC, dst) <= 3",
-    "sample_one_typed": _with(_TYPED, "n AS (SELECT DISTINCT id, nbr FROM (SELECT src AS id, dst AS nbr, dst_type AS t FROM typed UNION ALL SELECT dst, src, src_type FROM typed) WHERE t = 0)", "k AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY nbr) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM n)") + f"SELECT id, nbr FROM k WHERE k = floor({_u(f"'{SEED}'", "'one'", 'id')} * n)",
+    "sample_one_typed": _with(_TYPED, _TO_CUSTOMER) + f"SELECT id, arg_min(nbr, {_u(f"'{SEED}'", "'one'", 'id', 'nbr')}) AS nbr FROM c GROUP BY 1",
+    "sample_k_typed": _with(_TYPED, _TO_CUSTOMER) + f"SELECT id, nbr FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_u(f"'{SEED}'", "'k'", 'id', 'nbr')}, nbr) <= 3",
+    "sample_k_typed_weighted": _with(_TYPED, _TO_CUSTOMER) + f"SELECT id, nbr FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY ln({_u(f"'{SEED}'", "'k'", 'id', 'nbr')}) / weight DESC, nbr) <= 3",
+    "remove_slot": _with(_PS, _KEYED) + f"SELECT id, value AS slot_deg FROM {_ends('ps')} LEFT JOIN keyed USING (id)",
+    "checkpointed_graph": _with(_PS) + "SELECT src % 10 AS attr, count(*) AS n_edges FROM ps GROUP BY 1",
+    "active_count": _with(_PS) + f"SELECT count(*) AS n FROM {_ends('ps')} WHERE id % 4 = 1",
+    "graph_from_text": _with(_PS) + f"SELECT id FROM {_ends('ps')}",
+    "adjacency_slot": _with(_PS) + f"SELECT id, (row_number() OVER (PARTITION BY id ORDER BY nbr) - 1)::INT AS pos, nbr FROM (SELECT DISTINCT id, nbr FROM {_both('ps')})",
+    "adjacency_typed": _with(_TYPED) + "SELECT src AS id, dst_type::SMALLINT AS nbr_type, (row_number() OVER (PARTITION BY src, dst_type ORDER BY dst) - 1)::INT AS pos, dst AS nbr, min(weight)::DOUBLE AS weight FROM typed GROUP BY src, dst_type, dst",
+    "has_typed_neighbor": _with(_TYPED) + "SELECT src AS id, max((dst = 4)::INT) AS found FROM typed WHERE src_type < 2 GROUP BY 1",
+    "neighbors_merge_weighted": _with(_EVENT) + "SELECT src AS id, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1)::INT AS pos, dst AS nbr, CASE WHEN weight % 2 = 0 THEN weight ELSE weight + 100 END AS weight FROM ev",
+    "neighbors_merge_typed_weighted": _with(_TYPED) + """SELECT src AS id, src_type::SMALLINT AS type, dst_type::SMALLINT AS nbr_type, (row_number() OVER (PARTITION BY src, dst_type ORDER BY dst) - 1)::INT AS pos, dst AS nbr,
+        min(CASE WHEN src % 3 <> 0 THEN weight ELSE weight + 10 END) AS weight FROM typed GROUP BY src, src_type, dst_type, dst""",
+    "neighbors_merge_typed": _with(_TYPED, "some_of AS (SELECT * FROM typed WHERE src % 3 <> 0 OR src % 2 = 0)") + """SELECT id, type::SMALLINT AS type, nbr_type::SMALLINT AS nbr_type, (row_number() OVER (PARTITION BY id, nbr_type ORDER BY nbr) - 1)::INT AS pos, nbr
+        FROM (SELECT DISTINCT * FROM (SELECT src AS id, src_type AS type, dst AS nbr, dst_type AS nbr_type FROM some_of UNION ALL SELECT dst, dst_type, src, src_type FROM some_of))""",
+    "partition_id_range": _with(_PS, f"v AS (SELECT id FROM {_ends('ps')})") + "SELECT id, ((id - (SELECT min(id) FROM v)) // ((SELECT max(id) - min(id) + 7 FROM v) // 7))::INT AS pid FROM v",
+    "partition_random": _with(_PS) + f"SELECT src, dst, floor({_u("'cut'", 'src', 'dst')} * 8)::INT AS pid FROM ps",
+    "partition_canonical": _with(_PS) + f"SELECT src, dst, floor({_u("'cut'", 'least(src, dst)', 'greatest(src, dst)')} * 8)::INT AS pid FROM ps",
+    "map_updates": _with(_EVENT) + """, l AS (SELECT src, arg_min(weight, dst) AS lowest, sum(weight)::BIGINT AS total, sum(CASE WHEN weight % 2 = 0 THEN -weight ELSE weight END)::BIGINT AS updated FROM ev GROUP BY 1)
+        SELECT src, lowest, -1 AS missing, updated, total - lowest AS rest FROM l WHERE src IN (SELECT src FROM ev WHERE weight % 2 = 0)""",
     "sample_vertices_k": _with(_PS) + f"SELECT id FROM {_ends('ps')} ORDER BY {_u(f"'{SEED}'", "'vertex'", 'id')}, id LIMIT 50",
     "array_set_functions": _with(_PS, "a AS (SELECT src AS id, list(dst ORDER BY dst) AS a FROM ps WHERE weight % 2 = 0 GROUP BY 1)", "b AS (SELECT src AS id, list(dst ORDER BY dst) AS b FROM ps WHERE weight % 3 = 0 GROUP BY 1)") + """
         SELECT id, array_to_string(list_sort(list_distinct(a || b)), ',') AS both, array_to_string([x FOR x IN a IF NOT list_contains(b, x)], ',') AS minus,
@@ -163,13 +183,9 @@ def _rounds(graph: str, table: str, start: str, edges: str, step: str, n: int, l
 
 
 ORACLE["pregel_min_label"] = _rounds(_TYPED, "typed", "id", _both("typed"), "s.x", 4, "label")
-ORACLE["pregel_sssp"] = _rounds(_COP, "cop", "CASE WHEN id = 10 THEN 0.0::DOUBLE END", "(SELECT src AS id, dst AS nbr FROM cop)", "s.x + 1", 4, "distance")
-ORACLE["connected_components"] = (
-    _with(_TYPED, "e AS (SELECT src, dst FROM typed WHERE src_type <> 4)").replace("WITH", "WITH RECURSIVE", 1).rstrip()
-    + f""", b AS MATERIALIZED (SELECT DISTINCT id, nbr FROM {_both('e')}),
-    reach AS (SELECT id, id AS seen FROM b UNION SELECT reach.id, b.nbr FROM reach JOIN b ON b.id = reach.seen WHERE b.nbr < reach.id OR b.nbr % 8 IN (0, 4))
-    SELECT id, min(seen) AS component FROM reach GROUP BY 1"""
-)
+ORACLE["pregel_sssp"] = _rounds(_COP, "cop", "CASE WHEN id = 10 THEN 0.0::DOUBLE END", "(SELECT src AS id, dst AS nbr FROM cop)", "s.x + 1", 20, "distance")
+# seven steps lead from any vertex of the tree of regions, nations, customers, suppliers and orders to any other of its component
+ORACLE["connected_components"] = _rounds(_TYPED, "typed", "id", _both("typed"), "s.x", 8, "component")
 _TRI = "tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst)"
 ORACLE["triangle_count"] = _with(_COP, _TRI) + "SELECT count(*) AS triangles FROM tri"
 ORACLE["triangle_per_vertex"] = _with(_COP, _TRI) + f"SELECT id, count(t) AS triangles FROM {_ends('cop')} LEFT JOIN (SELECT unnest([a, b, c]) AS t FROM tri) ON t = id GROUP BY 1"
@@ -203,16 +219,22 @@ def _weighted_step(k: int, u: str) -> str:
     return f"SELECT w.start, w.walk, n.nbr AS nxt FROM w{k - 1} w JOIN n ON n.id = w.cur AND n.cum > {u} * n.total AND n.cum - n.weight <= {u} * n.total"
 
 
-def _node2vec_step(k: int, u: str) -> str:
-    weight = "CASE WHEN w.prev IS NULL THEN 1.0 WHEN n.nbr = w.prev THEN 2.0 WHEN m.id IS NOT NULL THEN 1.0 ELSE 1.25 END::DOUBLE"
-    return f"""SELECT start, walk, nbr AS nxt FROM (SELECT *, sum(x) OVER (PARTITION BY start, walk ORDER BY nbr) AS cum, sum(x) OVER (PARTITION BY start, walk) AS total
-        FROM (SELECT w.start, w.walk, n.nbr, {weight} AS x, {u} AS u FROM w{k - 1} w JOIN n ON n.id = w.cur LEFT JOIN n m ON m.id = w.prev AND m.nbr = n.nbr)) WHERE cum > u * total AND cum - x <= u * total"""
+def _node2vec_step(k: int, _: str) -> str:
+    weight = lambda w: f"CASE WHEN {w}.prev IS NULL THEN 2.0 WHEN n.nbr = {w}.prev THEN 2.0 WHEN m.id IS NOT NULL THEN 1.0 ELSE 1.25 END::DOUBLE"
+    draw = lambda name: _u(f"'{SEED}'", f"'{name}'", "w.start", "w.walk", f"'{k}'", "t.try")
+    near = lambda w: f"LEFT JOIN n m ON m.id = {w}.prev AND m.nbr = n.nbr"
+    return f"""WITH p AS MATERIALIZED (SELECT start, walk, cur, prev, arg_min(nbr, try) FILTER (WHERE good) AS nbr FROM (
+          SELECT w.start, w.walk, w.cur, w.prev, t.try, n.nbr, {draw("accept")} * 2.0::DOUBLE < {weight("w")} AS good FROM w{k - 1} w JOIN range(6) t(try) ON w.prev IS NOT NULL OR t.try = 0
+          JOIN n ON n.id = w.cur AND n.k = floor({draw("node2vec")} * n.n) {near("w")}) GROUP BY 1, 2, 3, 4)
+        SELECT start, walk, nbr AS nxt FROM p WHERE nbr IS NOT NULL UNION ALL
+        SELECT start, walk, nbr FROM (SELECT *, sum(x) OVER (PARTITION BY start, walk ORDER BY nbr) AS cum, u * sum(x) OVER (PARTITION BY start, walk) AS goal
+          FROM (SELECT w.start, w.walk, n.nbr, {weight("w")} AS x, {_u(f"'{SEED}'", "'node2vec'", "w.start", "w.walk", f"'{k}'")} AS u FROM p w JOIN n ON n.id = w.cur {near("w")} WHERE w.nbr IS NULL)) WHERE cum > goal AND cum - x <= goal"""
 
 
 _PS_NEIGHBORS = _indexed(f"SELECT DISTINCT id, nbr FROM {_both('ps')}")
 ORACLE["deepwalk"] = _walk(_PS, "ps", _PS_NEIGHBORS, "walk", _uniform_step, 2)
 ORACLE["deepwalk_weighted"] = _walk(_EVENT, "ev", f"n AS MATERIALIZED (SELECT *, sum(weight) OVER (PARTITION BY id ORDER BY nbr) AS cum, sum(weight) OVER (PARTITION BY id) AS total FROM {_both('ev', ', weight')})", "walk", _weighted_step)
-ORACLE["node2vec"] = _walk(_TYPED + ", e AS (SELECT src, dst FROM typed WHERE src_type <> 3)", "e", f"n AS MATERIALIZED (SELECT DISTINCT id, nbr FROM {_both('e')})", "node2vec", _node2vec_step)
+ORACLE["node2vec"] = _walk(_TYPED, "typed", _indexed(f"SELECT DISTINCT id, nbr FROM {_both('typed')}"), "node2vec", _node2vec_step)
 ORACLE["metapath_walk"] = _walk(_TYPED, "typed", _indexed("SELECT DISTINCT * FROM (SELECT src AS id, dst_type AS t, dst AS nbr FROM typed UNION ALL SELECT dst, src_type, src FROM typed)", ", t"), "metapath", _metapath_step)
 ORACLE["walk_text_sink"] = _walk(_PS, "ps", _PS_NEIGHBORS, "walk", _uniform_step, 1, 3).replace("SELECT start, walk::INT AS walk, path FROM", "SELECT path AS line FROM")
 

@@ -40,8 +40,8 @@ def _arity(low: int, high: int) -> Column:
     """Raises on lines with too few or too many fields, else true."""
     n = F.size("f")
     return (
-        F.when(n < low, F.raise_error(F.concat(F.lit("Invalid line: "), "value")).cast("boolean"))
-        .when(n > high, F.raise_error(F.concat(F.lit("not support! "), "value")).cast("boolean"))
+        F.when(n < low, F.raise_error(F.concat(F.lit("too few fields in line: "), "value")).cast("boolean"))
+        .when(n > high, F.raise_error(F.concat(F.lit("too many fields in line: "), "value")).cast("boolean"))
         .otherwise(F.lit(True))
     )
 
@@ -74,6 +74,17 @@ def graph_from_text(spark: SparkSession, path: str, attribute: str = "long", can
     return PropertyGraph.from_edges(edges_from_text(spark, path, attribute, canonical, partitions))
 
 
+def has_types(spark: SparkSession, path: str, lines: int = 5) -> bool:
+    """Whether a text edge list has types, by the number of fields in its first lines."""
+    found = _fields(spark, path, None).select(F.size("f").alias("n")).limit(lines).collect()
+    return bool(found) and all(r["n"] >= 4 for r in found)
+
+
+def any_edges_from_text(spark: SparkSession, path: str, **options) -> DataFrame:
+    """``typed_edges_from_text`` or ``edges_from_text``, whichever the first lines call for."""
+    return (typed_edges_from_text if has_types(spark, path) else edges_from_text)(spark, path, **options)
+
+
 def edges_from_csv(spark: SparkSession, path: str, attribute: str = "double", partitions: int | None = None) -> DataFrame:
     """(src, dst, attr) from CSV without header, all edges of a source in one partition."""
     edges = spark.read.schema(f"src bigint, dst bigint, attr {_type(attribute)}").csv(path).where("src <> dst")

@@ -51,16 +51,22 @@ def test_node2vec_walks_the_whole_graph(spark, small):
     for start in near:
         path = [start]
         for k in range(1, catalog.WALK_LENGTH):
-            u = int(hashlib.md5(f"{catalog.SEED}|node2vec|{start}|0|{k}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            draw = lambda *key: int(hashlib.md5("|".join(map(str, (catalog.SEED, *key))).encode()).hexdigest()[:13], 16) / (1 << 52)  # noqa: B023, E731
             options = sorted(near[path[-1]])
             came = path[-2] if len(path) > 1 else None
-            weights = [1.0 if came is None else 1 / 0.5 if x == came else 1.0 if x in near[came] else 1 / 0.8 for x in options]
-            cum = 0.0
-            for x, w in zip(options, weights, strict=True):
-                cum += w
-                if cum > u * sum(weights):
+            weigh = lambda x: 2.0 if came is None or x == came else 1.0 if x in near[came] else 1 / 0.8  # noqa: B023, E731
+            for t in range(6):
+                x = options[int(draw("node2vec", start, 0, k, t) * len(options))]
+                if draw("accept", start, 0, k, t) * 2 < weigh(x):
                     path.append(x)
                     break
+            else:
+                cum, u = 0.0, draw("node2vec", start, 0, k) * sum(map(weigh, options))
+                for x in options:
+                    cum += weigh(x)
+                    if cum > u:
+                        path.append(x)
+                        break
         want[start, 0] = " ".join(map(str, path))
     got = {(r["start"], r["walk"]): r["path"] for r in catalog.node2vec(spark, small).collect()}
     assert got == want and sum(s % 8 == 3 for s, _ in got) == len(ORDERS)
