@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import small_side
-from .common import shared_dir
+from .common import shared_dir, stored
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,42 +53,33 @@ def _views(payload, chunk_bytes: int) -> Iterator[memoryview]:
         yield view[a : a + chunk_bytes]
 
 
-def with_digests(pages: DataFrame, chunk_bytes: int, payloads: bool) -> DataFrame:
-    """(page_id, digest, bytes[, url, payload]): the SHA-1 (bare base32) of each payload, carried over its chunks."""
-    names = ["page_id", "digest", "bytes", *(["url", "payload"] if payloads else [])]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums, sizes = [], []
-            for value in batch.column(1):
-                state, size = hashlib.sha1(), 0
-                for view in _views(value.as_buffer(), chunk_bytes):
-                    state.update(view)
-                    size += len(view)
-                sums.append(base32(state))
-                sizes.append(size)
-            more = [batch.column(2), batch.column(1)] if payloads else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string()), pa.array(sizes, pa.int64()), *more], names)
-
-    read = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"), *([F.col("url").cast("string")] if payloads else []))
-    return read.mapInArrow(task, "page_id long, digest string, bytes long" + (", url string, payload binary" if payloads else ""))
+def carried_digest(payload, chunk_bytes: int) -> str:
+    """The SHA-1 (bare base32) of a payload, its state carried from chunk to chunk."""
+    state = hashlib.sha1()
+    for view in _views(payload, chunk_bytes):
+        state.update(view)
+    return base32(state)
 
 
 def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 64 << 10, minimum_revisit: int = 0, file_records: int = 1_000_000) -> None:
-    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``. Payloads stay where they are read, unless there are too many
-    repeated ones to send their names to each task."""
-    named = with_digests(pages, chunk_bytes, False).where(F.col("bytes") >= minimum_revisit)
-    heads = named.groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND head IS NOT NULL").select("digest", "head")
-    told = with_digests(pages, chunk_bytes, True).join(small_side(heads), "digest", "left")
+    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``. Equal payloads are told by the same
+    digest, computed where they are read; they stay there, unless there are too many repeated ones to send their names to each task."""
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    named = read.withColumns({"name": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+    heads = named.where(F.col("bytes") >= minimum_revisit).groupBy("name").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("copies"))
+    heads = stored(heads.where("copies > 1 AND head IS NOT NULL").select("name", "head"), "heads")
+    told = named.join(small_side(heads), "name", "left")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")) & (F.col("bytes") >= minimum_revisit)
-    told = told.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.col("head")).alias("head"))
+    told = told.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "name", "bytes", F.when(revisit, F.col("head")).alias("head"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[bytes] = []
             held = 0
-            for page, url, payload, digest, size, head in zip(*(batch.column(k) for k in range(6)), strict=True):
-                for row in _segments(page.as_py(), url.as_py(), payload, digest.as_py(), size.as_py(), head.as_py(), chunk_bytes):
+            for page, url, payload, name, size, head in zip(*(batch.column(k) for k in range(6)), strict=True):
+                digest = carried_digest(payload.as_buffer(), chunk_bytes) if head.as_py() is None else base64.b32encode(bytes.fromhex(name.as_py())).decode()
+                for row in _segments(page.as_py(), url.as_py(), payload, digest, size.as_py(), head.as_py(), chunk_bytes):
                     rows.append(row)
                     held += len(row)
                     if held > 8 * chunk_bytes:
