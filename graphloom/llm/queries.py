@@ -38,7 +38,7 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"), min_count=1)
+    return katz.score(table(spark, sf_dir, "documents"), order=2)
 
 
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
