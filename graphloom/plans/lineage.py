@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Scratch tables that are not yet deleted, by application.
 _scratch: dict[str, set[str]] = {}
 
+#: Spark's setting to delete the shuffle files of a query as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is configured and all is one machine."""
@@ -32,15 +35,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind: their result is a table, which nothing computes again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: compact, and read by columns.
 
     It has a file for each task that made it: input splits, or shuffle partitions as adaptive execution joined them by size. The
-    table is deleted when the session's Python process ends, or before by ``forget``.
+    table is deleted when the session's Python process ends, or before by ``forget``. The shuffle files behind it go once it is
+    written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with _shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path)
@@ -86,7 +105,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}"
     placed = df.repartition(n, key)
-    placed.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    with _shuffles_freed(spark):
+        placed.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now: the plan keeps what it needs of the catalog's entry
     spark.sql(f"DROP TABLE {name}")
