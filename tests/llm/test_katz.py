@@ -103,6 +103,14 @@ def test_query_knows_bigrams_seen_once(spark, tmp_path):
     same(rows, queries.op4_katz_lm(spark, str(tmp_path)).collect(), brute)
 
 
+def test_query_uses_trigrams(spark, tmp_path):
+    rows = [(k, prose(k % 60, 20 + k % 90)) for k in range(120)] + [(500, "seen once only")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    brute = Brute(rows, 3)
+    assert abs(brute.score(brute.words[-1]) - Brute(rows).score(brute.words[-1])) > 0.01
+    same(rows, queries.op4_katz_lm(spark, str(tmp_path)).collect(), brute)
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     same(rows, katz.score(odd_docs).collect(), Brute(rows, 3))
