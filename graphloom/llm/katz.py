@@ -8,12 +8,14 @@ alpha(h) is what the seen n-grams of h leave of 1, over what P(. | h') leaves of
 the known words and the unknown one; for a context never seen it is 1. Where discounting leaves nothing, 1 is added to the denominator.
 Contexts at the start of a document are filled up with a begin mark. Discounts are estimated for each order.
 
-Documents are dealt to blocks of bounded size. A block counts its words and n-grams once and sends them, sorted and packed,
-to buckets; buckets of n-grams are dealt by context (where that ends in a very frequent word, found on a sample, by context and word), so
-no bucket depends on one word. Buckets sum over blocks, write the tables, and answer each block with numbers in the order in which it sent them.
-Backoff weights come from the tables by joins and partial sums, an order from the one below. A block then evaluates each token from
-the words upwards: the n-gram's number, else the context's weight times the probability with the shorter context. Memory is bounded by
-block and bucket; every document counts and is scored.
+Documents are dealt to blocks of bounded size, kept as word numbers. An order at a time, blocks send their n-grams, sorted and packed, to
+buckets, which sum over blocks and answer each block with counts in the order in which it sent them. A context's count is that of an n-gram
+of the order below, so a block knows beforehand which contexts no other block has (held-out documents are counted for that) or were never seen in training: it
+evaluates those itself, and sends n-grams of shared contexts only. N-grams travel with the counts of their shorter n-gram, so buckets sum what alpha takes.
+Buckets are dealt by context; contexts whose count exceeds a share of a bucket are dealt by context and word, and their sums, few for each
+bucket, are added up in the driver, so no bucket depends on one context. A block then evaluates each token from the words upwards: the
+n-gram's number, else the context's weight times the probability with the shorter context. Memory is bounded by block and bucket, disk by
+one order's messages; every document counts and is scored.
 
 Words are known by 48 bits of a 64-bit hash, longer contexts by 62; words that share them (one expected pair in 20 million words or so) are one word.
 
@@ -23,8 +25,10 @@ without training documents all probability is the unknown word's; an empty table
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lower_words, mix, stored
+from .common import fold, forget, lower_words, mix, stored
 
 BEGIN, END = 1, 2
 SENT = "bucket int, block int, kind string, blob binary"
@@ -44,11 +48,13 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.st
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer or float arrays as compressed bytes, each cut into planes of like bytes."""
+    """Integer or float arrays as compressed bytes, each cut into planes of like bytes, as many as its largest number takes."""
     parts = []
     for a in arrays:
-        parts.append(len(a).to_bytes(8, "little"))
-        parts.append(np.ascontiguousarray(a.astype("<i8" if a.dtype.kind in "iu" else "<f8", copy=False)).view(np.uint8).reshape(-1, 8).T.tobytes())
+        a = np.ascontiguousarray(a.astype("<f8" if a.dtype.kind == "f" else "<i8", copy=False))
+        width = 8 if a.dtype.kind == "f" or len(a) and a.min() < 0 else (int(a.max(initial=0)).bit_length() + 7) // 8
+        parts.append(len(a).to_bytes(8, "little") + bytes([width]))
+        parts.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -56,10 +62,11 @@ def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
     out, at = [], 0
     for kind in kinds:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
-        out.append(np.ascontiguousarray(planes.T).view("<i8" if kind == "i" else "<f8").ravel())
-        at += 8 + 8 * n
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 9).reshape(width, n).T
+        out.append(whole.view("<i8" if kind == "i" else "<f8").ravel())
+        at += 9 + width * n
     return out
 
 
@@ -67,21 +74,47 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0)
 
 
-def pack_grams(first: np.ndarray, second: np.ndarray, counts: np.ndarray, lower: np.ndarray, common: np.ndarray) -> bytes:
-    """N-grams sorted by context: each context once, with how many n-grams it has; last words by their place in ``common``, where they
-    are in it, else in full."""
-    heads = np.flatnonzero(np.diff(first, prepend=-1))
-    at = np.minimum(np.searchsorted(common, second), len(common) - 1)
-    rare = common[at] != second
-    return pack(deltas(first[heads]), np.diff(heads, append=len(first)), lower[heads], np.where(rare, 0, at + 1), second[rare], counts)
+def pack_grams(first: np.ndarray, second: np.ndarray, place: np.ndarray, of_context: list[np.ndarray], of_gram: list[np.ndarray]) -> bytes:
+    """N-grams sorted by context: each context once, with how many n-grams it has; last words by their place among the common ones,
+    counted from 1, else (place 0) in full."""
+    heads = _heads(first)
+    return pack(deltas(first[heads]), np.diff(heads, append=len(first)), *[x[heads] for x in of_context], place, second[place == 0], *of_gram)
 
 
-def unpack_grams(blob: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, counts, lower) as ``pack_grams`` took them."""
-    steps, sizes, lower, places, rare, counts = unpack(blob, "iiiiii")
+def unpack_grams(blob: bytes, of_context: int, of_gram: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(first, second, of_context, of_gram) as ``pack_grams`` took them."""
+    steps, sizes, *rest = unpack(blob, "i" * (4 + of_context + of_gram))
+    places, rare, *grams = rest[of_context:]
     second = common[np.maximum(places - 1, 0)]
     second[places == 0] = rare
-    return np.repeat(np.cumsum(steps), sizes), second, counts, np.repeat(lower, sizes)
+    return np.repeat(np.cumsum(steps), sizes), second, [np.repeat(x, sizes) for x in rest[:of_context]], grams
+
+
+def _heads(first: np.ndarray) -> np.ndarray:
+    """Places at which a context begins."""
+    return np.flatnonzero(np.diff(first, prepend=-1))
+
+
+# memory -----------------------------------------------------------------------------------------------------------
+
+
+def _trim() -> None:
+    """Gives memory that is free back to the system: workers stay alive between groups, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f``, after which free memory is given back."""
+
+    def task(table: pa.Table) -> pa.Table:
+        out = f(table)
+        _trim()
+        return out
+
+    return task
 
 
 # blocks -----------------------------------------------------------------------------------------------------------
@@ -97,77 +130,182 @@ def word_hash(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word) >> 16) | (1 << 47)  # never BEGIN or END
 
 
-def longer(context: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Hashes of contexts that are longer by the word ``before``."""
-    return (mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that are longer by the word that follows."""
+    return (mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+
+
+def sorted_places(keys: np.ndarray, bound: int) -> np.ndarray:
+    """Places of keys (0 to ``bound``, exclusive) in their order, equal ones as they stand."""
+    bits = len(keys).bit_length()
+    if bound << bits >= 1 << 63:
+        return np.argsort(keys, kind="stable")
+    keys = keys << bits  # a plain sort of keys with their places is several times faster
+    keys |= np.arange(len(keys))
+    keys.sort()
+    keys &= (1 << bits) - 1
+    return keys
+
+
+def distinct(a: np.ndarray, b: np.ndarray, of_a: int, of_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ``a`` (below ``of_a``) and ``b`` (below ``of_b``) without repeats, sorted: both, where each occurs first, and the pair at each place."""
+    keys = a.astype(np.int64) * of_b + b
+    order = sorted_places(keys, of_a * of_b)
+    new = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    at = order[new].astype(np.int32)
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(keys)))
+    return a[at], b[at], at, of
+
+
+def index_block(ids: list[int | None], texts: list[str | None], held_out: list[bool]) -> bytes:
+    """Documents as numbers of words: ids, held-out flags, sizes, hashes of words as they first occur (the end's first), tokens."""
+    numbers = _Numbers()
+    numbers[b""] = 0  # never a word
+    parts, sizes = [], []
+    for text in texts:
+        words = lower_words(text)
+        parts += [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+        sizes.append(len(words) + 1)
+    hashes = np.fromiter(map(word_hash, numbers), np.int64, len(numbers))
+    hashes[0] = END
+    null = np.array([i is None for i in ids], bool)
+    whole = np.array([0 if i is None else i for i in ids], np.int64)
+    return pack(null.astype(np.int64), whole, np.array(held_out, np.int64), np.array(sizes, np.int64), hashes, np.concatenate(parts) if parts else np.empty(0, np.int64))
 
 
-class Level:
-    """N-grams of one length of a block: contexts in the order of their hashes, n-grams as (context's rank, word's rank), sorted."""
+class Block:
+    """Some documents: words in the order of their hashes, tokens as ranks in it."""
+
+    def __init__(self, blob: bytes):
+        null, ids, held, self.sizes, hashes, number = unpack(blob, "iiiiii")
+        self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
+        self.held = held.astype(bool)
+        self.words, rank = np.unique(hashes, return_inverse=True)
+        self.token = rank.astype(np.int32)[number]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.training = np.repeat(~self.held, self.sizes)
+        self.n_training = int((~self.held).sum())
 
-    def __init__(self, context: np.ndarray, lower: np.ndarray, last: np.ndarray, token: np.ndarray, training: np.ndarray, words: np.ndarray):
-        self.contexts, at, self.context_of = np.unique(context, return_index=True, return_inverse=True)
-        pairs, self.pair_of = np.unique((self.context_of << 32) | token, return_inverse=True)
-        owner = pairs >> 32
-        self.first, self.second = self.contexts[owner], words[pairs & 0xFFFFFFFF]
-        self.lower, self.last = lower[at][owner], last[at][owner]
-        self.counts = np.bincount(self.pair_of[training], minlength=len(pairs))
+    def dealt_words(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        return _by_bucket(word_bucket(self.words, buckets))
 
-    def dealt(self, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each bucket its n-grams' places, in order."""
-        apart = np.where(np.isin(self.last, hot), self.second >> 9, 0)
-        return _by_bucket(((self.first >> 5) + apart) % buckets)
 
-    def dealt_contexts(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        return _by_bucket(word_bucket(self.contexts, buckets))
+def _counted(of: np.ndarray, training: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each n-gram occurs in training documents of the block, and in others."""
+    local = np.bincount(of[training], minlength=size).astype(np.int32)
+    return local, np.bincount(of[~training], minlength=size).astype(np.int32)
 
 
-class Block:
-    """Words and n-grams of some documents: words in the order of their hashes, tokens as ranks in it, ``levels`` by length from 2."""
-
-    def __init__(self, texts: list[str | None], held_out: list[bool], order: int):
-        numbers = _Numbers()
-        parts, sizes = [], []
-        for text in texts:
-            words = lower_words(text)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            sizes.append(len(words) + 1)
-        hashes = np.fromiter(map(word_hash, numbers), np.int64, len(numbers))
-        self.words, rank = np.unique(np.concatenate([[BEGIN, END], hashes]), return_inverse=True)
-        self.sizes = np.array(sizes, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        total = int(self.sizes.sum())
-        self.token = np.empty(total, np.int64)
-        last = self.starts + self.sizes - 1
-        inside = np.ones(total, bool)
-        inside[last] = False
-        self.token[inside] = rank[np.concatenate(parts) + 2] if parts else []
-        self.token[last] = rank[1]
-        self.training = np.repeat(~np.array(held_out, bool), self.sizes)
-        self.n_training = int((~np.array(held_out, bool)).sum())
-        self.levels: dict[int, Level] = {}
-        before = self._before(self.words[self.token])
-        context, lower, nearest = before, np.zeros(total, np.int64), before
-        for m in range(2, order + 1):
-            self.levels[m] = Level(context, lower, nearest, self.token, self.training, self.words)
-            before = self._before(before)
-            context, lower = longer(context, before), context
-
-    def _before(self, words: np.ndarray) -> np.ndarray:
-        """Each token's entry moved to the next token of its document; the begin mark for the first."""
-        out = np.empty_like(words)
-        out[1:] = words[:-1]
-        out[self.starts] = BEGIN
-        return out
+class Words:
+    """The words of a block as n-grams of length 1; ``count``, in training documents, and ``held``, in others, are set once they are known."""
 
-    def word_counts(self) -> np.ndarray:
-        """Training tokens of each word; of BEGIN, training documents."""
-        out = np.bincount(self.token[self.training], minlength=len(self.words))
-        out[np.searchsorted(self.words, BEGIN)] = self.n_training
-        return out
+    def __init__(self, block: Block):
+        self.of, self.hash = block.token, block.words
+        self.local, self.local_held = _counted(self.of, block.training, len(block.words))
 
-    def dealt_words(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        return _by_bucket(word_bucket(self.words, buckets))
+
+class Level:
+    """N-grams of one length of a block, sorted by context and word. Contexts are the n-grams of ``below``, and one more of begin marks only."""
+
+    def __init__(self, block: Block, words: Words, below: Words | Level):
+        self.below, self.words, begin = below, block.words, len(below.hash)
+        self.context = np.empty(len(block.token), np.int32)
+        self.context[1:] = below.of[:-1]
+        self.context[block.starts] = begin
+        self.owner, self.second, self.at, self.of = distinct(self.context, block.token, begin + 1, len(block.words))
+        self.context_hash = np.append(below.hash, BEGIN)
+        self.hash = longer(self.context_hash[self.owner], block.words[self.second])
+        self.local, self.local_held = _counted(self.of, block.training, len(self.owner))
+        end = np.searchsorted(block.words, END)
+        self.total = np.append(below.count, words.count[end])
+        elsewhere = np.append(below.count - below.local + below.held - below.local_held, words.count[end] + words.held[end] - len(block.sizes))
+        self.shared = (self.total > 0) & (elsewhere > 0)
+
+    def shorter(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """For each n-gram, of the n-gram without its first word: the count, and what its discounted count is divided by."""
+        count = self.below.count[self.below.of[self.at]]
+        if isinstance(self.below, Words):
+            return count, np.full(len(count), model.unigrams.denominator)
+        return count, (self.below.total + self.below.extra)[self.below.context[self.at]]
+
+    def dealt(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, where each begins in the n-grams of shared contexts, and those, by bucket sorted by the context's hash and the word."""
+        at = np.flatnonzero(self.shared[self.owner])
+        owner = self.owner[at]
+        heads = _heads(owner)
+        sizes = np.diff(heads, append=len(at))
+        hashes, parts = self.context_hash[owner[heads]], model.parts(self.total[owner[heads]])
+        rank = np.empty(len(heads), np.int64)
+        rank[np.argsort(hashes)] = np.arange(len(heads))
+        apart = (self.words[self.second[at]] >> 9) % np.repeat(parts, sizes)
+        bucket = (np.repeat(hashes >> 5, sizes) + apart) % model.buckets
+        order = sorted_places(bucket * max(1, len(heads)) + np.repeat(rank, sizes), model.buckets * max(1, len(heads)))
+        bucket = bucket[order]
+        cuts = _heads(bucket)
+        return bucket[cuts], cuts, at[order]
+
+    def send(self, model: Model, m: int, number: int) -> Iterator[tuple]:
+        """Messages to buckets, and numbers of n-grams by count of the contexts that no other block has."""
+        buckets, cuts, at = self.dealt(model)
+        count, divisor = (x[at] for x in self.shorter(model))
+        owner, second, local = self.owner[at], self.second[at], self.local[at]
+        held = self.local_held[at] if m < model.order else np.zeros_like(local)
+        columns = [
+            self.context_hash[owner], self.words[second], model.places(self.words)[second],
+            (model.parts(self.total) > 1).astype(np.int8)[owner], divisor, local, held, np.where(local > 0, count, 0),
+        ]
+        for bucket, start, end in zip(buckets.tolist(), cuts, np.append(cuts, len(at))[1:], strict=True):
+            first, word, place, split, below, *of_gram = (x[start:end] for x in columns)
+            yield bucket, number, "p", pack_grams(first, word, place, [split, below], of_gram)
+        own = self.local[~self.shared[self.owner]]
+        yield number % model.buckets, number, "t", pack(np.bincount(np.minimum(own, model.k + 2), minlength=model.k + 3))
+
+    def resolve(self, model: Model, m: int, answer: Callable[[int], bytes]) -> None:
+        """Sets counts, and of contexts ``extra``, added to their counts, and ``weight``, log10 of alpha where a token needs it."""
+        k, d, n = model.k, model.d[m], len(self.context_hash)
+        lost = np.arange(1, k + 1) * (1 - d[1 : k + 1])
+        self.count, self.held = self.local.astype(np.int64), self.local_held.astype(np.int64)
+        left, p = np.zeros(n), np.zeros(n)
+        buckets, cuts, at = self.dealt(model)
+        if len(at):
+            got = []
+            for b in buckets.tolist():
+                counts, held, *few, sums = unpack(answer(b), "i" * (k + 2) + "f")
+                got.append((counts, held, sum(x * y for x, y in zip(few, lost, strict=True)), sums))
+            counts, held, lefts, sums = (np.concatenate(x) for x in zip(*got, strict=True))
+            self.count[at], self.held[at] = counts, held
+            begins = np.diff(self.owner[at], prepend=-1) != 0
+            begins[cuts] = True
+            heads = np.flatnonzero(begins)
+            left[self.owner[at[heads]]] = lefts
+            p[self.owner[at[heads[_asked(heads, counts)]]]] = sums
+        known, few, sums = model.split[m]
+        if len(known):
+            place = np.minimum(np.searchsorted(known, self.context_hash), len(known) - 1)
+            found = self.shared & (known[place] == self.context_hash)
+            left[found], p[found] = (few * lost).sum(axis=1)[place[found]], sums[place[found]]
+        own = np.flatnonzero(~self.shared[self.owner] & (self.count > 0))
+        owner = self.owner[own]
+        left += np.bincount(owner, np.concatenate([[0], lost, [0]])[np.minimum(self.count[own], k + 1)], n)
+        below, divisor = (x[own] for x in self.shorter(model))
+        p += np.bincount(owner, discounted(below, model.d[m - 1]) / divisor, n)
+        self.extra = ((self.total > 0) & (left <= 1e-9 * self.total)).astype(np.int64)
+        self.weight = np.zeros(n)
+        need = np.zeros(n, bool)
+        need[self.owner[self.count == 0]] = True
+        need &= (self.total > 0) & (p < 1)
+        self.weight[need] = np.log10((left + self.extra)[need] / (self.total + self.extra)[need] / (1 - p[need]))
+
+    def evaluated(self, model: Model, m: int, logs: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the tokens, from those with the shorter context."""
+        seen = np.log10(np.maximum(discounted(self.count, model.d[m]), 1e-300) / np.maximum(self.total + self.extra, 1)[self.owner])
+        return np.where(self.count[self.of] > 0, seen[self.of], self.weight[self.context] + logs)
+
+
+def _asked(heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of contexts that begin at ``heads``: has one of their n-grams a count of 0, so that alpha is needed."""
+    return np.minimum.reduceat(counts, heads) == 0
 
 
 def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -200,7 +338,7 @@ def _packed_docs(docs: DataFrame, blocks: int, held_out_fold: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_batch(table)
-                blobs.append(zstandard.compress(sink.getvalue(), 3))
+                blobs.append(zstandard.compress(sink.getvalue(), 1))
                 del sizes[b]
             return pa.RecordBatch.from_arrays([pa.array([-1] * len(which), pa.int32()), pa.array(which, pa.int32()), pa.array(["d"] * len(which)), pa.array(blobs, pa.binary())], schema=_SENT)
 
@@ -213,19 +351,23 @@ def _packed_docs(docs: DataFrame, blocks: int, held_out_fold: int) -> DataFrame:
                     yield flush([b for b, _ in sizes.most_common(max(1, len(sizes) // 2))])
         if held:
             yield flush(sorted(held))
+        _trim()
 
     return named.mapInArrow(task, SENT)
 
 
-def _block_of(blobs: list[bytes], order: int) -> tuple[list, list, Block]:
-    """Ids, held-out flags and counts of a block's documents, in an order that does not depend on how they arrived."""
+def _index(table: pa.Table) -> pa.Table:
+    """The row (bucket = -1, block, kind 'd', blob) of a block."""
     rows = []
-    for blob in blobs:
-        with pa.ipc.open_stream(zstandard.decompress(blob)) as reader:
+    for v in table.column("blob"):
+        with pa.ipc.open_stream(zstandard.decompress(v.as_py())) as reader:
             for b in reader:
                 rows += zip(*(c.to_pylist() for c in b.columns), strict=True)
-    ids, texts, held = zip(*rows, strict=True) if rows else ((), (), ())
-    return list(ids), list(held), Block(list(texts), list(held), order)
+    return _sent([(-1, table.column("block")[0].as_py(), "d", index_block(*map(list, zip(*rows, strict=True))))])
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), _SENT, strict=True)], schema=_SENT)
 
 
 # training ---------------------------------------------------------------------------------------------------------
@@ -248,12 +390,6 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * d[np.minimum(c, len(d) - 1)] if len(c) else c.astype(float)
 
 
-def _discount_column(c, d: np.ndarray, k: int):
-    """d(c) c as a column; counts above ``k`` are not discounted."""
-    table = F.array(*[F.lit(float(x)) for x in d[: k + 1]])
-    return F.when(F.col(c) <= k, F.get(table, F.col(c).cast("int"))).otherwise(F.lit(1.0)) * F.col(c)
-
-
 class Unigrams:
     """Probabilities of known words by count, and of the unknown word."""
 
@@ -271,90 +407,167 @@ class Unigrams:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def _send(buckets: int, hot: np.ndarray, common: np.ndarray, order: int):
-    def task(table: pa.Table) -> pa.Table:
-        _, _, b = _block_of([v.as_py() for v in table.column("blob")], order)
-        number = table.column("block")[0].as_py()
-        rows = []
-        counts = b.word_counts()
-        for bucket, at in b.dealt_words(buckets):
-            rows.append((bucket, number, "w", pack(deltas(b.words[at]), counts[at])))
-        for m, level in b.levels.items():
-            for bucket, at in level.dealt(buckets, hot):
-                rows.append((bucket, number, f"p{m}", pack_grams(level.first[at], level.second[at], level.counts[at], level.lower[at], common)))
-            if m > 2:  # contexts of one word are asked for as words
-                for bucket, at in level.dealt_contexts(buckets):
-                    rows.append((bucket, number, f"x{m}", pack(deltas(level.contexts[at]))))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+class Model:
+    """What blocks and buckets know besides their rows: discounts ``d`` by order, and ``split``, by order, contexts dealt to several
+    buckets with their numbers of n-grams by count up to ``k`` and sums of shorter probabilities."""
+
+    def __init__(self, unigrams: Unigrams, order: int, buckets: int, common: np.ndarray):
+        self.unigrams, self.order, self.buckets, self.common, self.k = unigrams, order, buckets, common, unigrams.k
+        self.most = max(1, unigrams.n // (4 * buckets))
+        self.d = {1: unigrams.d}
+        self.split: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Of words, their places among the common ones, counted from 1; 0 for others."""
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[at] == words, at + 1, 0).astype(np.int32)
+
+    def parts(self, total: np.ndarray) -> np.ndarray:
+        """Buckets to which contexts of these counts are dealt."""
+        return np.minimum(total // self.most + 1, self.buckets)
+
+
+def _resolved(table: pa.Table, model: Model, order: int) -> tuple[Block, Iterator[Words | Level]]:
+    """A block and its n-grams up to ``order``, from its row and the answers to it. What was made of a level before is not held."""
+    kinds, places, blobs = table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("blob")
+    of = {(x, b): i for i, (x, b) in enumerate(zip(kinds, places, strict=True))}
+    block = Block(blobs[of["d", -1]].as_py())
+
+    def levels() -> Iterator[Words | Level]:
+        level = words = Words(block)
+        words.count, words.held = np.zeros((2, len(block.words)), np.int64)
+        for bucket, at in block.dealt_words(model.buckets):
+            words.count[at], words.held[at] = unpack(blobs[of["c1", bucket]].as_py(), "ii")
+        yield words
+        for m in range(2, order + 1):
+            level = Level(block, words, level)
+            level.resolve(model, m, lambda bucket, m=m: blobs[of[f"c{m}", bucket]].as_py())
+            level.below = None
+            yield level
+
+    return block, levels()
+
+
+def _evaluated(table: pa.Table, model: Model) -> tuple[Block, Words, np.ndarray]:
+    """A block, its words and log10 of its tokens' probabilities."""
+    block, levels = _resolved(table, model, model.order)
+    words = next(levels)
+    with np.errstate(divide="ignore"):
+        logs = np.log10(model.unigrams.p(words.count))[block.token]
+    for m, level in enumerate(levels, 2):
+        logs = level.evaluated(model, m, logs)
+    return block, words, logs
+
+
+def _send_words(buckets: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = Block(blob.as_py())
+                words = Words(block)
+                rows = [(bucket, number, "w", pack(deltas(block.words[at]), words.local[at], words.local_held[at])) for bucket, at in block.dealt_words(buckets)]
+                yield from _sent(rows).to_batches()
 
     return task
 
 
-def _reduce(k: int, common: np.ndarray):
-    """Sums a bucket over blocks. Words: a table part and, for each block, the words it asks for; n-grams: a table part and, for each
-    block, counts in its order; what blocks ask of longer contexts goes on as it is."""
-
-    def words(table: pa.Table) -> Iterator[tuple]:
-        got = [unpack(v.as_py(), "ii") for v in table.column("blob")]
-        for block, (steps, _) in zip(table.column("block").to_pylist(), got, strict=True):
-            yield block, "q2", pack(steps)
-        names, inverse = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
-        c = np.bincount(inverse, np.concatenate([g[1] for g in got]), len(names)).astype(np.int64)
-        keep = c > 0
-        yield -1, "W", pack(deltas(names[keep]), c[keep])
-        yield -1, "S", pack(np.concatenate([np.bincount(np.minimum(c[keep & (names != BEGIN)], k + 2), minlength=k + 3), [c[names != BEGIN].sum(), (keep & (names != BEGIN)).sum()]]))
-
-    def grams(table: pa.Table, m: str) -> Iterator[tuple]:
-        blocks = table.column("block").to_pylist()
-        got = [unpack_grams(v.as_py(), common) for v in table.column("blob")]
-        first, second, n, lower = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((second, first))
-        new = np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)])
-        group = np.cumsum(new) - 1
-        c = np.bincount(group, n[order]).astype(np.int64)
-        each = np.empty(len(n), np.int64)
-        each[order] = c[group]
-        keep = c > 0
-        heads = order[new][keep]
-        yield -1, f"P{m}", pack_grams(first[heads], second[heads], c[keep], lower[heads], common)
-        yield -1, f"T{m}", pack(np.bincount(np.minimum(c, k + 2), minlength=k + 3))
-        for block, part in zip(blocks, np.split(each, np.cumsum([len(g[0]) for g in got])[:-1]), strict=True):
-            yield block, f"c{m}", pack(part)
-
-    def asked(table: pa.Table, m: str) -> Iterator[tuple]:
-        for block, blob in zip(table.column("block").to_pylist(), table.column("blob"), strict=True):
-            yield block, f"q{m}", blob.as_py()
+def _sum_words(k: int):
+    """Sums a bucket's words over blocks: numbers of words by count, tokens and types; for each block, counts in its order."""
 
     def task(table: pa.Table) -> pa.Table:
-        bucket, kind = table.column("bucket")[0].as_py(), table.column("kind")[0].as_py()
-        rows = [(bucket, block, name, blob) for block, name, blob in (words(table) if kind == "w" else (grams if kind[0] == "p" else asked)(table, kind[1:]))]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+        bucket = table.column("bucket")[0].as_py()
+        got = [unpack(v.as_py(), "iii") for v in table.column("blob")]
+        _, inverse = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+        c, held = (np.bincount(inverse, np.concatenate([g[i] for g in got])).astype(np.int64) for i in (1, 2))
+        rows = [(bucket, -1, "S", pack(np.concatenate([np.bincount(np.minimum(c, k + 2), minlength=k + 3), [c.sum(), (c > 0).sum()]])))]
+        for block, part in zip(table.column("block").to_pylist(), np.split(inverse, np.cumsum([len(g[0]) for g in got])[:-1]), strict=True):
+            rows.append((bucket, block, "c1", pack(c[part], held[part])))
+        return _sent(rows)
 
     return task
 
 
-def _rows_of(reduced: DataFrame, kind: str, names: list[str]) -> DataFrame:
-    """Table parts as rows of longs; the first column, by which a part is sorted, is kept as differences."""
+def _send(model: Model, m: int):
+    def task(table: pa.Table) -> pa.Table:
+        block, levels = _resolved(table, model, m - 1)
+        words = below = next(levels)
+        for level in levels:
+            below = level
+        return _sent(list(Level(block, words, below).send(model, m, table.column("block")[0].as_py())))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for v in batch.column(0):
-                key, *others = unpack(v.as_py(), "i" * len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (np.cumsum(key), *others)], names)
+    return task
 
-    return reduced.where(F.col("kind") == kind).select("blob").mapInArrow(task, ", ".join(f"{n} long" for n in names))
 
+def _reduce(model: Model, m: int):
+    """Sums a bucket over blocks: numbers of n-grams by count; sums of the contexts that are dealt to several buckets; for each block,
+    counts in its order, of its contexts the numbers of n-grams by count up to k, and where alpha is needed sums of shorter probabilities."""
+    k = model.k
+
+    def grams(table: pa.Table, bucket: int) -> Iterator[tuple]:
+        got = [unpack_grams(v.as_py(), 2, 3, model.common) for v in table.column("blob")]
+        ends = np.cumsum([len(g[0]) for g in got])
+        first, second = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        split, divisor = (np.concatenate([g[2][i] for g in got]) for i in (0, 1))
+        n, held, count = (np.concatenate([g[3][i] for g in got]) for i in (0, 1, 2))
+        del got
+        contexts, context = np.unique(first, return_inverse=True)
+        words, word = np.unique(second, return_inverse=True)
+        owner, _, at, of = distinct(context, word, len(contexts), len(words))
+        c, c_held = (np.bincount(of, x, len(owner)).astype(np.int64) for x in (n, held))
+        shorter = np.zeros(len(owner), np.int64)
+        shorter[of[count > 0]] = count[count > 0]
+        p = np.where(c > 0, discounted(shorter, model.d[m - 1]) / divisor[at], 0)
+        few = [np.bincount(owner[c == r], minlength=len(contexts)) for r in range(1, k + 1)]
+        sums = np.bincount(owner, p, len(contexts))
+        yield bucket, -1, "T", pack(np.bincount(np.minimum(c, k + 2), minlength=k + 3))
+        apart = np.flatnonzero(np.bincount(owner, split[at], len(contexts)))
+        if len(apart):
+            yield bucket, -1, "H", pack(contexts[apart], *[x[apart] for x in few], sums[apart])
+        for block, start, end in zip(table.column("block").to_pylist(), np.append(0, ends), ends, strict=False):
+            part = c[of[start:end]]
+            heads = _heads(first[start:end])
+            asked = context[start:end][heads]
+            yield bucket, block, f"c{m}", pack(part, c_held[of[start:end]], *[x[asked] for x in few], sums[asked[_asked(heads, part)]])
 
-def _grams_of(reduced: DataFrame, m: int, common: np.ndarray) -> DataFrame:
-    """The n-grams of ``m`` words as rows of longs."""
-    names = ["first", "second", "n", "lower"]
+    def task(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if table.column("kind")[0].as_py() == "p":
+            return _sent(list(grams(table, bucket)))
+        return _sent([(bucket, -1, "T", pack(sum(unpack(v.as_py(), "i")[0] for v in table.column("blob"))))])
+
+    return task
+
+
+def _exchanged(known: DataFrame, model: Model, m: int, slices: int) -> list[DataFrame]:
+    """Tables of what ``_reduce`` makes of the messages of all blocks. A slice of the blocks sends at a time, then a slice of the buckets is summed
+    at a time and its messages deleted, so the shuffle files behind are those of a slice."""
+    if slices == 1:
+        sent = known.groupBy("block").applyInArrow(lean(_send(model, m)), SENT)
+        return [stored(sent.groupBy("kind", "bucket").applyInArrow(lean(_reduce(model, m)), SENT), "grams", compression="none")]
+    part = F.pmod(F.col("bucket"), F.lit(2 * slices)).alias("slice")
+    sent = [
+        stored(known.where(F.pmod(F.col("block"), F.lit(slices)) == i).groupBy("block").applyInArrow(lean(_send(model, m)), SENT).select("*", part), "sent", by="slice", compression="none")
+        for i in range(slices)
+    ]
+    messages, out = functools.reduce(DataFrame.unionByName, sent), []
+    for i in range(2 * slices):
+        now = messages.where(F.col("slice") == i).drop("slice")
+        out.append(stored(now.groupBy("kind", "bucket").applyInArrow(lean(_reduce(model, m)), SENT), "grams", compression="none"))
+        for table in sent:
+            forget(table, part=f"slice={i}")
+    forget(*sent)
+    return out
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for v in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in unpack_grams(v.as_py(), common)], names)
 
-    return reduced.where(F.col("kind") == f"P{m}").select("blob").mapInArrow(task, ", ".join(f"{n} long" for n in names))
+def _split(reduced: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts dealt to several buckets, sorted, with their sums over buckets. Their parts are at most five for each bucket and order."""
+    rows = reduced.where(F.col("kind") == "H").select("bucket", "blob").collect()
+    got = [unpack(r["blob"], "i" * (k + 1) + "f") for r in sorted(rows, key=lambda r: r["bucket"])]
+    if not got:
+        return np.empty(0, np.int64), np.empty((0, k), np.int64), np.empty(0)
+    names, *few, sums = (np.concatenate(x) for x in zip(*got, strict=True))
+    known, owner = np.unique(names, return_inverse=True)
+    return known, np.stack([np.bincount(owner, x, len(known)) for x in few], axis=1), np.bincount(owner, sums, len(known))
 
 
 def _total(reduced: DataFrame, kind: str, size: int) -> np.ndarray:
@@ -373,125 +586,66 @@ def _total(reduced: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def frequent_words(docs: DataFrame, buckets: int, sample: int, common: int) -> tuple[np.ndarray, np.ndarray]:
-    """From a sample of texts (those of the smallest hashes): words with so large a share that they would overfill a bucket, and the
-    ``common`` most frequent ones, sorted. Only the dealing depends on the first, and only how words are written on the second."""
+def frequent_words(docs: DataFrame, sample: int, common: int) -> np.ndarray:
+    """The ``common`` most frequent words of a sample of texts (those of the smallest hashes), sorted. Only how words are written in
+    messages depends on them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for batch in batches:
             for v in batch.column(0):
                 c.update(lower_words(v.as_py()))
-        top = c.most_common(common)
-        yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w, _ in top], pa.int64()), pa.array([n for _, n in top], pa.int64()), pa.array([c.total()] * len(top), pa.int64())], ["word", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w, _ in c.most_common(common)], pa.int64())], ["word"])
 
     spread = docs.select(F.col("text").cast("string").alias("text")).orderBy(F.xxhash64("text", F.lit(5))).limit(sample)
-    got = spread.mapInArrow(task, "word long, n long, total long").collect()
-    hot = np.array([BEGIN, *[r["word"] for r in got if r["n"] * 8 * buckets > r["total"]]], np.int64)
-    return hot, np.unique(np.array([END, *[r["word"] for r in got]], np.int64))
+    return np.unique(np.array([END, *[r["word"] for r in spread.mapInArrow(task, "word long").collect()]], np.int64))
 
 
 # the operator -----------------------------------------------------------------------------------------------------
 
 
 def score(
-    docs: DataFrame, order: int = 3, held_out_fold: int = 1, k: int = 5, block_chars: int = 9_000_000, hot_sample: int = 2000, common: int = 32_768
+    docs: DataFrame, order: int = 3, held_out_fold: int = 1, k: int = 5, block_chars: int = 9_000_000, hot_sample: int = 2000, common: int = 32_768, slices: int = 3
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, text), by n-grams of
-    up to ``order`` (at least 2) words."""
+    up to ``order`` (at least 2) words. The ``common`` most frequent words are found on ``hot_sample`` texts; messages travel in
+    ``slices``, which bound the shuffle files behind them."""
     if order < 2:
         raise ValueError("a backoff model needs an order of at least 2")
     chars = docs.agg(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) + 50)).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    buckets = max(4, 2 * blocks)
-    hot, common_words = frequent_words(docs, buckets, hot_sample, max(common, 8 * buckets))
-    packed = _packed_docs(docs, blocks, held_out_fold)
-    sent = packed.groupBy("block").applyInArrow(_send(buckets, hot, common_words, order), SENT)
-    reduced = stored(sent.groupBy("kind", "bucket").applyInArrow(_reduce(k, common_words), SENT), "reduced", compression="none")
+    buckets, slices = max(4, 2 * blocks), min(slices, blocks)
+    common_words = frequent_words(docs, hot_sample, common)
+    tables = [known := stored(_packed_docs(docs, blocks, held_out_fold).groupBy("block").applyInArrow(lean(_index), SENT), "blocks", compression="none")]
+    sent = known.select("block", "blob").mapInArrow(_send_words(buckets), SENT)
+    reduced = stored(sent.groupBy("bucket").applyInArrow(_sum_words(k), SENT), "words", compression="none")
+    tables.append(reduced)
     s = _total(reduced, "S", k + 5)
     unigrams = Unigrams(s[: k + 3], int(s[k + 3]), int(s[k + 4]), k)
-    vocabulary = stored(_rows_of(reduced, "W", ["word", "c"]), "vocabulary")
-    d, answers, lower = {}, [], None
+    model = Model(unigrams, order, buckets, common_words)
+    known = known.unionByName(reduced.where(F.col("kind") == "c1"))
     for m in range(2, order + 1):
-        d[m] = np.append(good_turing(_total(reduced, f"T{m}", k + 3), k), 1.0)
-        grams = _grams_of(reduced, m, common_words)
-        if m == 2:
-            p = _discount_column("c", unigrams.d, k) / F.lit(float(unigrams.denominator))
-            shorter = grams.join(vocabulary.select(F.col("word").alias("second"), p.alias("p")), "second")
-        else:
-            shorter = grams.join(lower, ["lower", "second"])
-        contexts = stored(_backoff(shorter, d[m], k), "contexts")
-        told = vocabulary.join(contexts.drop("c"), "word", "left") if m == 2 else contexts
-        answers.append(_answer(reduced, m, told, buckets))
-        if m < order:
-            total = (F.col("c") + F.col("extra")).alias("total")
-            lower = grams.drop("lower").join(contexts.select(F.col("word").alias("first"), total), "first").select(
-                F.col("first").alias("lower"), "second", (_discount_column("n", d[m], k) / F.col("total")).alias("p")
-            )
-    everything = packed.unionByName(reduced.where(F.col("kind").startswith("c")))
-    for more in answers:
-        everything = everything.unionByName(more)
+        made = _exchanged(known, model, m, slices if m > 2 else 1)
+        tables += made
+        reduced = functools.reduce(DataFrame.unionByName, made)
+        model.d[m] = np.append(good_turing(_total(reduced, "T", k + 3), k), 1.0)
+        model.split[m] = _split(reduced, k)
+        known = known.unionByName(reduced.where(F.col("kind") == f"c{m}"))
 
     def evaluate(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        blobs = table.column("blob")
-        places = table.column("bucket").to_pylist()
-        ids, held, b = _block_of([blobs[i].as_py() for i, x in enumerate(kinds) if x == "d"], order)
-        of = {(x, places[i]): i for i, x in enumerate(kinds) if x != "d"}
-
-        def read(kind: str, types: str, dealt: Iterator[tuple[int, np.ndarray]], size: int) -> list[np.ndarray]:
-            out = [np.zeros(size, np.int64 if t == "i" else np.float64) for t in types]
-            for bucket, at in dealt:
-                for column, values in zip(out, unpack(blobs[of[kind, bucket]].as_py(), types), strict=True):
-                    column[at] = values
-            return out
-
-        c_word, alpha, extra = read("a2", "ifi", b.dealt_words(buckets), len(b.words))
-        with np.errstate(divide="ignore"):
-            logs = np.log10(unigrams.p(c_word))[b.token]
-        for m, level in b.levels.items():
-            (c_gram,) = read(f"c{m}", "i", level.dealt(buckets, hot), len(level.first))
-            if m == 2:
-                at = np.searchsorted(b.words, level.contexts)
-                c_context, weight, added = c_word[at], alpha[at], extra[at]
-            else:
-                c_context, weight, added = read(f"a{m}", "ifi", level.dealt_contexts(buckets), len(level.contexts))
-            c = c_gram[level.pair_of]
-            seen = np.log10(np.maximum(discounted(c, d[m]), 1e-300) / np.maximum(c_context + added, 1)[level.context_of])
-            logs = np.where(c > 0, seen, weight[level.context_of] + logs)
-        known = c_word[b.token]
+        b, words, logs = _evaluated(table, model)
+        known_tokens = words.count[b.token]
         add = lambda x: np.add.reduceat(x, b.starts) if len(x) else x
-        cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(b.sizes), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(ids), unigrams.n)), pa.array(add(unigrams.base(known))), pa.array(add(logs))]
+        cols = [b.ids, pa.array(b.held), pa.array(b.sizes), pa.array(add((known_tokens > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), unigrams.n)), pa.array(add(unigrams.base(words.count)[b.token])), pa.array(add(logs))]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return everything.groupBy("block").applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _backoff(grams: DataFrame, d: np.ndarray, k: int) -> DataFrame:
-    """(word, c, log_alpha, extra) of the contexts of n-grams (first, second, n, p = the probability with the shorter context);
-    extra is added to their counts."""
-    sums = grams.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("c"), F.sum(_discount_column("n", d, k)).alias("used"), F.sum("p").alias("p"))
-    left = F.col("c") - F.col("used")
-    told = sums.withColumn("extra", F.when(left <= 1e-9 * F.col("c"), 1).otherwise(0).cast("long"))
-    alpha = (left + F.col("extra")) / (F.col("c") + F.col("extra")) / (1 - F.col("p"))
-    return told.select("word", "c", F.log10(alpha).alias("log_alpha"), "extra")
-
-
-def _answer(reduced: DataFrame, m: int, table: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 'a' and the order: for each block and bucket counts, backoff weights and additions of what it asked for, in its order."""
-    rows = table.select(F.pmod(F.shiftright("word", 7), F.lit(buckets)).cast("int").alias("bucket"), "word", "c", F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"), F.coalesce("extra", F.lit(0).cast("long")).alias("extra"))
-    kind = f"a{m}"
-
-    def task(asked: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("word").to_numpy())
-        words, c, alpha, extra = (known.column(n).to_numpy()[order] for n in ("word", "c", "log_alpha", "extra"))
-        out = []
-        for bucket, block, blob in zip(asked.column("bucket").to_pylist(), asked.column("block").to_pylist(), asked.column("blob"), strict=True):
-            names = np.cumsum(unpack(blob.as_py(), "i")[0])
-            at = np.minimum(np.searchsorted(words, names), max(0, len(words) - 1))
-            hit = words[at] == names if len(words) else np.zeros(len(names), bool)
-            pick = lambda x, hit=hit, at=at: np.where(hit, x[at] if len(x) else 0, 0)
-            out.append((bucket, block, kind, pack(pick(c), pick(alpha).astype(float), pick(extra))))
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else ((), (), (), ()), _SENT, strict=True)], schema=_SENT)
-
-    return reduced.where(F.col("kind") == f"q{m}").select("bucket", "block", "blob").groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(task, SENT)
+    scored = [
+        stored(
+            known.where(F.pmod(F.col("block"), F.lit(slices)) == i).groupBy("block").applyInArrow(
+                lean(evaluate), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+            ), "scored"
+        )
+        for i in range(slices)
+    ]
+    forget(*tables)
+    return functools.reduce(DataFrame.unionByName, scored)

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import katz, queries
@@ -129,3 +131,43 @@ def test_packed_arrays():
     a, b = katz.unpack(katz.pack(katz.deltas(x), y), "if")
     assert (np.cumsum(a) == x).all() and (b == y).all()
     assert [len(v) for v in katz.unpack(katz.pack(np.empty(0, np.int64)), "i")] == [0]
+
+
+def blocks_with_words(*texts_and_held, order, buckets=4):
+    """A model that knows the words, and each block's row with the answers about them."""
+    rows = [(-1, n, "d", katz.index_block(list(range(len(texts))), texts, held)) for n, (texts, held) in enumerate(texts_and_held)]
+    batch = pa.record_batch([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[3] for r in rows])], names=["block", "blob"])
+    sent = [r for b in katz._send_words(buckets)(iter([batch])) for r in b.to_pylist()]
+    summed = [r for n in range(buckets) if (of := [tuple(r.values()) for r in sent if r["bucket"] == n]) for r in katz._sum_words(5)(katz._sent(of)).to_pylist()]
+    s = sum(katz.unpack(r["blob"], "i")[0] for r in summed if r["kind"] == "S")
+    model = katz.Model(katz.Unigrams(s[:8], int(s[8]), int(s[9]), 5), order, buckets, np.array([katz.END]))
+    return model, [katz._sent([row, *(tuple(r.values()) for r in summed if r["block"] == row[1] and r["kind"] == "c1")]) for row in rows]
+
+
+def test_only_contexts_that_blocks_share_are_sent():
+    model, known = blocks_with_words((["a b c", "d e"], [False, False]), (["f g", "b x"], [False, True]), order=2)
+    sent = [katz._send(model, 2)(t).to_pylist() for t in known]
+    hashes = [sorted({int(h) for r in rows if r["kind"] == "p" for h in katz.unpack_grams(r["blob"], 2, 3, model.common)[0]}) for rows in sent]
+    assert hashes == [sorted([katz.BEGIN, katz.word_hash(b"b")])] * 2  # the held-out text asks for b; x was never seen, others are one block's
+    own = sum(katz.unpack(r["blob"], "i")[0] for rows in sent for r in rows if r["kind"] == "t")
+    assert own.tolist()[:3] == [1, 6, 0]  # a b, c end, d e, e end, f g, g end; x end was not seen
+
+
+def test_memory_of_a_block():
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(n).integers(0, 40_000, 400)) for n in range(500)]
+    model, (known,) = blocks_with_words((texts, [n % 5 == 0 for n in range(500)]), order=3)
+    model.d |= {2: model.d[1], 3: model.d[1]}
+    model.split = {m: (np.empty(0, np.int64), np.empty((0, 5), np.int64), np.empty(0)) for m in (2, 3)}
+    peaks = []
+    for work in (katz._send(model, 2), katz._send(model, 3), lambda t: katz._evaluated(t, model)):
+        tracemalloc.start()
+        work(known)
+        peaks.append(tracemalloc.get_traced_memory()[1] / (500 * 401))
+        tracemalloc.stop()
+    assert max(peaks) < 240, peaks  # bytes a token, of which there are about 1.5 million in a block
+
+
+@pytest.mark.parametrize("bound", [1000, 1 << 62])
+def test_sorted_places(bound):
+    keys = np.random.default_rng(3).integers(0, 1000, 5000)
+    assert (katz.sorted_places(keys, bound) == np.argsort(keys, kind="stable")).all()
