@@ -215,13 +215,17 @@ class Level:
         self.context[block.starts] = begin
         self.owner, self.second, self.at, self.of = distinct(self.context, block.token, begin + 1, len(block.words))
         self.context_hash = np.append(below.hash, BEGIN)
-        self.hash = longer(self.context_hash[self.owner], block.words[self.second])
         self.local, self.local_held = _counted(self.of, block.training, len(self.owner))
         end = np.searchsorted(block.words, END)
         self.total = np.append(below.count, words.count[end])
         elsewhere = np.append(below.count - below.local + below.held - below.local_held, words.count[end] + words.held[end] - len(block.sizes))
         self.shared = (self.total > 0) & (elsewhere > 0)
 
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """Hashes of the n-grams; the highest order needs none."""
+        return longer(self.context_hash[self.owner], self.words[self.second])
+
     def shorter(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """For each n-gram, of the n-gram without its first word: the count, and what its discounted count is divided by."""
         count = self.below.count[self.below.of[self.at]]
@@ -560,7 +564,7 @@ def _exchanged(known: DataFrame, model: Model, m: int, slices: int) -> list[Data
 
 
 def _split(reduced: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts dealt to several buckets, sorted, with their sums over buckets. Their parts are at most five for each bucket and order."""
+    """Contexts dealt to several buckets, sorted, with their sums over buckets. Their parts are about eight for each bucket at most."""
     rows = reduced.where(F.col("kind") == "H").select("bucket", "blob").collect()
     got = [unpack(r["blob"], "i" * (k + 1) + "f") for r in sorted(rows, key=lambda r: r["bucket"])]
     if not got:
