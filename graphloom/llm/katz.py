@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,15 +47,24 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.st
 
 # packing of arrays ------------------------------------------------------------------------------------------------
 
+#: The narrowest type that holds a number of bytes.
+_HOLDS = ["<u1", "<u1", "<u2", "<u4", "<u4", "<i8", "<i8", "<i8", "<i8"]
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer or float arrays as compressed bytes, each cut into planes of like bytes, as many as its largest number takes."""
     parts = []
     for a in arrays:
-        a = np.ascontiguousarray(a.astype("<f8" if a.dtype.kind == "f" else "<i8", copy=False))
-        width = 8 if a.dtype.kind == "f" or len(a) and a.min() < 0 else (int(a.max(initial=0)).bit_length() + 7) // 8
+        if a.dtype.kind == "f" or len(a) and a.min() < 0:
+            width, a = 8, a.astype("<f8" if a.dtype.kind == "f" else "<i8")
+        else:
+            width = (int(a.max(initial=0)).bit_length() + 7) // 8
+            a = a.astype(_HOLDS[width])
         parts.append(len(a).to_bytes(8, "little") + bytes([width]))
-        parts.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        whole, planes = a.view(np.uint8), np.empty((width, len(a)), np.uint8)
+        for i in range(width):  # several times faster than one transposed copy
+            planes[i] = whole[i :: a.itemsize]
+        parts.append(planes.tobytes())
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -63,9 +73,11 @@ def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 9).reshape(width, n).T
-        out.append(whole.view("<i8" if kind == "i" else "<f8").ravel())
+        a = np.zeros(n, "<f8" if kind == "f" else _HOLDS[width])
+        whole, planes = a.view(np.uint8), np.frombuffer(raw, np.uint8, width * n, at + 9).reshape(width, n)
+        for i in range(width):
+            whole[i :: a.itemsize] = planes[i]
+        out.append(a.astype("<i8", copy=False) if kind == "i" else a)
         at += 9 + width * n
     return out
 
@@ -92,7 +104,14 @@ def unpack_grams(blob: bytes, of_context: int, of_gram: int, common: np.ndarray)
 
 def _heads(first: np.ndarray) -> np.ndarray:
     """Places at which a context begins."""
-    return np.flatnonzero(np.diff(first, prepend=-1))
+    return np.flatnonzero(_begins(first))
+
+
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys: does another one begin here."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
 
 
 # memory -----------------------------------------------------------------------------------------------------------
@@ -120,81 +139,98 @@ def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
 # blocks -----------------------------------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def word_hash(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word) >> 16) | (1 << 47)  # never BEGIN or END
 
 
+def word_hashes(words: np.ndarray) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(16)).astype(np.int64) | (1 << 47)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, as ``lower_words`` cuts them, but in one go: how many each text has, their numbers, and words by number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    number, words = words.indices.to_numpy(zero_copy_only=False), words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    empty = np.flatnonzero(words == b"")
+    if len(empty):  # before and after blanks at the ends of a text
+        kept = number != empty[0]
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        number = number[kept]
+        number[number > empty[0]] -= 1
+        words = np.delete(words, empty)
+    return sizes, number, words
+
+
 def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of contexts that are longer by the word that follows."""
     return (mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
 
 
-def sorted_places(keys: np.ndarray, bound: int) -> np.ndarray:
-    """Places of keys (0 to ``bound``, exclusive) in their order, equal ones as they stand."""
+def sorted_keys(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys (0 to ``bound``, exclusive) in their order, equal ones as they stand, and the sorted keys."""
     bits = len(keys).bit_length()
     if bound << bits >= 1 << 63:
-        return np.argsort(keys, kind="stable")
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
     keys = keys << bits  # a plain sort of keys with their places is several times faster
     keys |= np.arange(len(keys))
     keys.sort()
-    keys &= (1 << bits) - 1
-    return keys
+    order = keys & ((1 << bits) - 1)
+    keys >>= bits
+    return order, keys
+
+
+def sorted_places(keys: np.ndarray, bound: int) -> np.ndarray:
+    """Places of keys (0 to ``bound``, exclusive) in their order, equal ones as they stand."""
+    return sorted_keys(keys, bound)[0]
 
 
 def distinct(a: np.ndarray, b: np.ndarray, of_a: int, of_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of ``a`` (below ``of_a``) and ``b`` (below ``of_b``) without repeats, sorted: both, where each occurs first, and the pair at each place."""
-    keys = a.astype(np.int64) * of_b + b
-    order = sorted_places(keys, of_a * of_b)
-    new = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    keys = a.astype(np.int64)
+    keys *= of_b
+    keys += b
+    order, keys = sorted_keys(keys, of_a * of_b)
+    new = _begins(keys)
+    del keys
     at = order[new].astype(np.int32)
-    of = np.empty(len(keys), np.int32)
-    of[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(keys)))
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     return a[at], b[at], at, of
 
 
-def index_block(ids: list[int | None], texts: list[str | None], held_out: list[bool]) -> bytes:
-    """Documents as numbers of words: ids, held-out flags, sizes, hashes of words as they first occur (the end's first), tokens."""
-    numbers = _Numbers()
-    numbers[b""] = 0  # never a word
-    parts, sizes = [], []
-    for text in texts:
-        words = lower_words(text)
-        parts += [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
-        sizes.append(len(words) + 1)
-    hashes = np.fromiter(map(word_hash, numbers), np.int64, len(numbers))
-    hashes[0] = END
+def index_block(ids: list[int | None], texts: pa.Array | list[str | None], held_out: list[bool]) -> bytes:
+    """Documents as numbers of words: ids, held-out flags, sizes, sorted hashes of words, the places there of words as they first
+    occur (the end's first), tokens."""
+    sizes, number, words = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    hashes, rank = np.unique(np.append(END, word_hashes(words)), return_inverse=True)
     null = np.array([i is None for i in ids], bool)
     whole = np.array([0 if i is None else i for i in ids], np.int64)
-    return pack(null.astype(np.int64), whole, np.array(held_out, np.int64), np.array(sizes, np.int64), hashes, np.concatenate(parts) if parts else np.empty(0, np.int64))
+    return pack(null, whole, np.array(held_out, bool), sizes + 1, deltas(hashes), rank, np.insert(number + 1, np.cumsum(sizes), 0))
 
 
 class Block:
     """Some documents: words in the order of their hashes, tokens as ranks in it."""
 
     def __init__(self, blob: bytes):
-        null, ids, held, self.sizes, hashes, number = unpack(blob, "iiiiii")
+        null, ids, held, self.sizes, steps, rank, number = unpack(blob, "iiiiiii")
         self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
         self.held = held.astype(bool)
-        self.words, rank = np.unique(hashes, return_inverse=True)
+        self.words = np.cumsum(steps)
         self.token = rank.astype(np.int32)[number]
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.training = np.repeat(~self.held, self.sizes)
-        self.n_training = int((~self.held).sum())
+        self.held_at = np.flatnonzero(np.repeat(self.held, self.sizes)).astype(np.int32)
 
     def dealt_words(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        return _by_bucket(word_bucket(self.words, buckets))
+        return _by_bucket(word_bucket(self.words, buckets), buckets)
 
 
-def _counted(of: np.ndarray, training: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(of: np.ndarray, held_at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each n-gram occurs in training documents of the block, and in others."""
-    local = np.bincount(of[training], minlength=size).astype(np.int32)
-    return local, np.bincount(of[~training], minlength=size).astype(np.int32)
+    held = np.bincount(of[held_at], minlength=size)
+    return (np.bincount(of, minlength=size) - held).astype(np.int32), held.astype(np.int32)
 
 
 class Words:
@@ -202,7 +238,7 @@ class Words:
 
     def __init__(self, block: Block):
         self.of, self.hash = block.token, block.words
-        self.local, self.local_held = _counted(self.of, block.training, len(block.words))
+        self.local, self.local_held = _counted(self.of, block.held_at, len(block.words))
 
 
 class Level:
@@ -215,7 +251,7 @@ class Level:
         self.context[block.starts] = begin
         self.owner, self.second, self.at, self.of = distinct(self.context, block.token, begin + 1, len(block.words))
         self.context_hash = np.append(below.hash, BEGIN)
-        self.local, self.local_held = _counted(self.of, block.training, len(self.owner))
+        self.local, self.local_held = _counted(self.of, block.held_at, len(self.owner))
         end = np.searchsorted(block.words, END)
         self.total = np.append(below.count, words.count[end])
         elsewhere = np.append(below.count - below.local + below.held - below.local_held, words.count[end] + words.held[end] - len(block.sizes))
@@ -226,12 +262,13 @@ class Level:
         """Hashes of the n-grams; the highest order needs none."""
         return longer(self.context_hash[self.owner], self.words[self.second])
 
-    def shorter(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """For each n-gram, of the n-gram without its first word: the count, and what its discounted count is divided by."""
-        count = self.below.count[self.below.of[self.at]]
+    def shorter(self, model: Model, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For n-grams, of the n-gram without its first word: the count, and what its discounted count is divided by."""
+        at = self.at[which]
+        count = self.below.count[self.below.of[at]]
         if isinstance(self.below, Words):
             return count, np.full(len(count), model.unigrams.denominator)
-        return count, (self.below.total + self.below.extra)[self.below.context[self.at]]
+        return count, (self.below.total + self.below.extra)[self.below.context[at]]
 
     def dealt(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, where each begins in the n-grams of shared contexts, and those, by bucket sorted by the context's hash and the word."""
@@ -242,17 +279,22 @@ class Level:
         hashes, parts = self.context_hash[owner[heads]], model.parts(self.total[owner[heads]])
         rank = np.empty(len(heads), np.int64)
         rank[np.argsort(hashes)] = np.arange(len(heads))
-        apart = (self.words[self.second[at]] >> 9) % np.repeat(parts, sizes)
-        bucket = (np.repeat(hashes >> 5, sizes) + apart) % model.buckets
-        order = sorted_places(bucket * max(1, len(heads)) + np.repeat(rank, sizes), model.buckets * max(1, len(heads)))
-        bucket = bucket[order]
-        cuts = _heads(bucket)
-        return bucket[cuts], cuts, at[order]
+        bucket, n = (hashes >> 5) % model.buckets, max(1, len(heads))
+        keys = np.repeat(bucket * n + rank, sizes)
+        wide = parts > 1  # few, so each n-gram's own bucket is worked out for theirs only
+        if wide.any():
+            apart = np.flatnonzero(np.repeat(wide, sizes))
+            bucket, rank, parts = (np.repeat(x[wide], sizes[wide]) for x in (bucket, rank, parts))
+            keys[apart] = (bucket + (self.words[self.second[at[apart]]] >> 9) % parts) % model.buckets * n + rank
+        order, keys = sorted_keys(keys, model.buckets * n)
+        cuts = np.searchsorted(keys, np.arange(model.buckets + 1) * n)
+        filled = np.flatnonzero(np.diff(cuts))
+        return filled, cuts[filled], at[order]
 
     def send(self, model: Model, m: int, number: int) -> Iterator[tuple]:
         """Messages to buckets, and numbers of n-grams by count of the contexts that no other block has."""
         buckets, cuts, at = self.dealt(model)
-        count, divisor = (x[at] for x in self.shorter(model))
+        count, divisor = self.shorter(model, at)
         owner, second, local = self.owner[at], self.second[at], self.local[at]
         held = self.local_held[at] if m < model.order else np.zeros_like(local)
         columns = [
@@ -279,20 +321,22 @@ class Level:
                 got.append((counts, held, sum(x * y for x, y in zip(few, lost, strict=True)), sums))
             counts, held, lefts, sums = (np.concatenate(x) for x in zip(*got, strict=True))
             self.count[at], self.held[at] = counts, held
-            begins = np.diff(self.owner[at], prepend=-1) != 0
+            begins = _begins(self.owner[at])
             begins[cuts] = True
             heads = np.flatnonzero(begins)
             left[self.owner[at[heads]]] = lefts
             p[self.owner[at[heads[_asked(heads, counts)]]]] = sums
         known, few, sums = model.split[m]
         if len(known):
-            place = np.minimum(np.searchsorted(known, self.context_hash), len(known) - 1)
-            found = self.shared & (known[place] == self.context_hash)
-            left[found], p[found] = (few * lost).sum(axis=1)[place[found]], sums[place[found]]
+            shared = np.flatnonzero(self.shared)
+            hashes = self.context_hash[shared]
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = known[place] == hashes
+            left[shared[found]], p[shared[found]] = (few * lost).sum(axis=1)[place[found]], sums[place[found]]
         own = np.flatnonzero(~self.shared[self.owner] & (self.count > 0))
         owner = self.owner[own]
         left += np.bincount(owner, np.concatenate([[0], lost, [0]])[np.minimum(self.count[own], k + 1)], n)
-        below, divisor = (x[own] for x in self.shorter(model))
+        below, divisor = self.shorter(model, own)
         p += np.bincount(owner, discounted(below, model.d[m - 1]) / divisor, n)
         self.extra = ((self.total > 0) & (left <= 1e-9 * self.total)).astype(np.int64)
         self.weight = np.zeros(n)
@@ -303,8 +347,11 @@ class Level:
 
     def evaluated(self, model: Model, m: int, logs: np.ndarray) -> np.ndarray:
         """log10 probabilities of the tokens, from those with the shorter context."""
-        seen = np.log10(np.maximum(discounted(self.count, model.d[m]), 1e-300) / np.maximum(self.total + self.extra, 1)[self.owner])
-        return np.where(self.count[self.of] > 0, seen[self.of], self.weight[self.context] + logs)
+        seen = np.full(len(self.count), np.nan)
+        known = np.flatnonzero(self.count)
+        seen[known] = np.log10(np.maximum(discounted(self.count[known], model.d[m]), 1e-300) / np.maximum(self.total + self.extra, 1)[self.owner[known]])
+        out = seen[self.of]
+        return np.where(np.isnan(out), self.weight[self.context] + logs, out)
 
 
 def _asked(heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -316,9 +363,9 @@ def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return (words >> 7) % buckets
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order, ordered = sorted_keys(bucket, buckets)
+    cuts = _heads(ordered)[1:]
     for places in np.split(order, cuts):
         if len(places):
             yield int(bucket[places[0]]), places
@@ -362,12 +409,12 @@ def _packed_docs(docs: DataFrame, blocks: int, held_out_fold: int) -> DataFrame:
 
 def _index(table: pa.Table) -> pa.Table:
     """The row (bucket = -1, block, kind 'd', blob) of a block."""
-    rows = []
+    parts = []
     for v in table.column("blob"):
         with pa.ipc.open_stream(zstandard.decompress(v.as_py())) as reader:
-            for b in reader:
-                rows += zip(*(c.to_pylist() for c in b.columns), strict=True)
-    return _sent([(-1, table.column("block")[0].as_py(), "d", index_block(*map(list, zip(*rows, strict=True))))])
+            parts.append(reader.read_all())
+    ids, texts, held = pa.concat_tables(parts).combine_chunks().columns
+    return _sent([(-1, table.column("block")[0].as_py(), "d", index_block(ids.to_pylist(), pa.concat_arrays(texts.chunks), held.to_pylist()))])
 
 
 def _sent(rows: list[tuple]) -> pa.Table:

@@ -1,4 +1,5 @@
 import math
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -133,6 +134,29 @@ def test_packed_arrays():
     assert [len(v) for v in katz.unpack(katz.pack(np.empty(0, np.int64)), "i")] == [0]
 
 
+def test_words_of_many_texts():
+    texts = ["a b A", None, "", "  ", " x\ty\x0bz \r\n", "\u00c4\u00a0\u00e4 \x1c\u2003\u0085 \x00 \x1f", "b", "\u0130 K\u212a"] * 3
+    for part in (texts, texts[2:4], texts[:1], []):
+        sizes, number, words = katz.split_words(pa.array(part, pa.string()))
+        want = [lower_words(t) for t in part]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert [words[n] for n in number] == [w for x in want for w in x]
+        assert sorted(words) == sorted({w for x in want for w in x})
+        block = katz.Block(katz.index_block(list(range(len(part))), part, [False] * len(part)))
+        assert block.words[block.token].tolist() == [h for x in want for h in (*map(katz.word_hash, x), katz.END)]
+
+
+def test_no_python_call_for_each_word():
+    calls = Counter()
+    text = " ".join(f"w{i}" for i in range(20_000))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        katz.index_block([1], [text], [False])
+    finally:
+        sys.setprofile(None)
+    assert calls.total() < 2000, calls
+
+
 def blocks_with_words(*texts_and_held, order, buckets=4):
     """A model that knows the words, and each block's row with the answers about them."""
     rows = [(-1, n, "d", katz.index_block(list(range(len(texts))), texts, held)) for n, (texts, held) in enumerate(texts_and_held)]
