@@ -93,13 +93,13 @@ def pack_grams(first: np.ndarray, second: np.ndarray, place: np.ndarray, of_cont
     return pack(deltas(first[heads]), np.diff(heads, append=len(first)), *[x[heads] for x in of_context], place, second[place == 0], *of_gram)
 
 
-def unpack_grams(blob: bytes, of_context: int, of_gram: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(first, second, of_context, of_gram) as ``pack_grams`` took them."""
+def unpack_grams(blob: bytes, of_context: int, of_gram: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(contexts, how many n-grams each has, second, of_context, of_gram): second and of_gram as ``pack_grams`` took them, of_context once for each context."""
     steps, sizes, *rest = unpack(blob, "i" * (4 + of_context + of_gram))
     places, rare, *grams = rest[of_context:]
     second = common[np.maximum(places - 1, 0)]
     second[places == 0] = rare
-    return np.repeat(np.cumsum(steps), sizes), second, [np.repeat(x, sizes) for x in rest[:of_context]], grams
+    return np.cumsum(steps), sizes, second, rest[:of_context], grams
 
 
 def _heads(first: np.ndarray) -> np.ndarray:
@@ -556,28 +556,30 @@ def _reduce(model: Model, m: int):
 
     def grams(table: pa.Table, bucket: int) -> Iterator[tuple]:
         got = [unpack_grams(v.as_py(), 2, 3, model.common) for v in table.column("blob")]
-        ends = np.cumsum([len(g[0]) for g in got])
-        first, second = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-        split, divisor = (np.concatenate([g[2][i] for g in got]) for i in (0, 1))
-        n, held, count = (np.concatenate([g[3][i] for g in got]) for i in (0, 1, 2))
+        starts = [np.cumsum([0, *(len(g[i]) for g in got)]) for i in (0, 2)]
+        names, sizes, second = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2))
+        split, divisor = (np.concatenate([g[3][i] for g in got]) for i in (0, 1))
+        n, held, count = (np.concatenate([g[4][i] for g in got]) for i in (0, 1, 2))
         del got
-        contexts, context = np.unique(first, return_inverse=True)
+        contexts, place = np.unique(names, return_inverse=True)
         words, word = np.unique(second, return_inverse=True)
-        owner, _, at, of = distinct(context, word, len(contexts), len(words))
+        owner, _, _, of = distinct(np.repeat(place, sizes), word, len(contexts), len(words))
         c, c_held = (np.bincount(of, x, len(owner)).astype(np.int64) for x in (n, held))
         shorter = np.zeros(len(owner), np.int64)
         shorter[of[count > 0]] = count[count > 0]
-        p = np.where(c > 0, discounted(shorter, model.d[m - 1]) / divisor[at], 0)
-        few = [np.bincount(owner[c == r], minlength=len(contexts)) for r in range(1, k + 1)]
+        divisors = np.zeros(len(contexts), divisor.dtype)
+        divisors[place] = divisor
+        p = np.where(c > 0, discounted(shorter, model.d[m - 1]) / divisors[owner], 0)
+        low = np.flatnonzero((c > 0) & (c <= k))
+        few = np.bincount(owner[low] * (k + 1) + c[low], minlength=len(contexts) * (k + 1)).reshape(-1, k + 1).T[1:]
         sums = np.bincount(owner, p, len(contexts))
         yield bucket, -1, "T", pack(np.bincount(np.minimum(c, k + 2), minlength=k + 3))
-        apart = np.flatnonzero(np.bincount(owner, split[at], len(contexts)))
+        apart = np.flatnonzero(np.bincount(place, split, len(contexts)))
         if len(apart):
             yield bucket, -1, "H", pack(contexts[apart], *[x[apart] for x in few], sums[apart])
-        for block, start, end in zip(table.column("block").to_pylist(), np.append(0, ends), ends, strict=False):
-            part = c[of[start:end]]
-            heads = _heads(first[start:end])
-            asked = context[start:end][heads]
+        for block, start, end, first, last in zip(table.column("block").to_pylist(), starts[1], starts[1][1:], starts[0], starts[0][1:], strict=False):
+            part, asked = c[of[start:end]], place[first:last]
+            heads = np.cumsum(sizes[first:last]) - sizes[first:last]
             yield bucket, block, f"c{m}", pack(part, c_held[of[start:end]], *[x[asked] for x in few], sums[asked[_asked(heads, part)]])
 
     def task(table: pa.Table) -> pa.Table:

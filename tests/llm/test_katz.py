@@ -157,6 +157,14 @@ def test_no_python_call_for_each_word():
     assert calls.total() < 2000, calls
 
 
+def test_contexts_are_unpacked_once():
+    common, first, second = np.array([2, 5, 8]), np.array([3, 3, 3, 9]), np.array([5, 7, 8, 2])
+    of_context, of_gram = np.array([4, 4, 4, 6]), np.array([1, 0, 300, 2])
+    blob = katz.pack_grams(first, second, np.array([2, 0, 3, 1]), [of_context], [of_gram])
+    contexts, sizes, words, (by_context,), (by_gram,) = katz.unpack_grams(blob, 1, 1, common)
+    assert [x.tolist() for x in (contexts, sizes, words, by_context, by_gram)] == [[3, 9], [3, 1], [5, 7, 8, 2], [4, 6], [1, 0, 300, 2]]
+
+
 def blocks_with_words(*texts_and_held, order, buckets=4):
     """A model that knows the words, and each block's row with the answers about them."""
     rows = [(-1, n, "d", katz.index_block(list(range(len(texts))), texts, held)) for n, (texts, held) in enumerate(texts_and_held)]
