@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..model import EdgeDirection, PropertyGraph, directed, endpoints
-from ..plans.lineage import bucketed, cut
-from . import components, degrees, sampling
+from ..plans.lineage import bucketed, cut, forget, stored
+from . import components, degrees, intersections, sampling
 from .messages import Send
 from .pregel import pregel
 
@@ -64,29 +65,67 @@ def shortest_paths(g: PropertyGraph, source: int, max_iterations: int, weight: s
     return out.vertices.select("id", F.col("attr").alias("distance"))
 
 
+#: A vertex with more neighbors than this, and than the root of all edges, is heavy.
+HEAVY = 1000
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(src, dst), smaller end first; stored. Loops, parallel edges and null ends stay."""
+    ends = F.col("src") > F.col("dst")
+    return stored(edges.select(F.when(ends, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(ends, F.col("src")).otherwise(F.col("dst")).alias("dst")), "edges")
+
+
+def _out_lists(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, list): each edge of the simple undirected graph at one end; and whether all stand at their smaller id.
+
+    Edges point from light vertices to heavy ones, else from the smaller id. There are few heavy vertices, so all lists are short: about
+    the root of the edges at most, or HEAVY.
+    """
+    n = edges.count()
+    simple = edges.where("src <> dst")
+    most = max(HEAVY, math.isqrt(2 * n))
+    # at most 2 n / most of them, which is not above the root of 2 n
+    heavy = stored(degrees.degrees(simple).where(F.col("degree") > most).select("id"), "heavy")
+    mark = lambda end: F.broadcast(heavy.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_heavy")))
+    both = simple.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+    turned = F.col("src_heavy").isNotNull() & F.col("dst_heavy").isNull()
+    out = both.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("id"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("nbr"))
+    lists, none = intersections.lists_of(out, n), heavy.isEmpty()
+    forget(heavy)
+    return lists, none
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c): each triangle of the simple undirected graph once.
 
-    Edges point from the end of smaller degree, so a hub's wedges are few and their number is at most edges^1.5.
+    Each edge stands at one end, in lists that are never longer than about the root of all edges; a triangle is a vertex in both lists of an edge.
+    Wedges are compared in place and never moved.
     """
-    simple = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    d = degrees.degrees(simple)
-    both = simple.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    oriented = cut(both.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b")))
-    wedges = oriented.alias("x").join(oriented.select("a", F.col("b").alias("c")).alias("y"), "a").where("b < c").select("a", "b", "c")
-    closing = simple.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return wedges.join(closing, ["b", "c"], "left_semi").select("a", "b", "c")
+    ordered = _ordered(edges)
+    lists, rising = _out_lists(ordered)
+    found = intersections.run(intersections.closed(lists, rising).select(F.col("id").alias("a"), F.col("nbr").alias("b"), F.explode("common").alias("c")), "triangles")
+    forget(ordered, lists)
+    return found
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(F.count(F.lit(1)).alias("triangles"))
+    ordered = _ordered(edges)
+    lists, rising = _out_lists(ordered)
+    n = intersections.run(intersections.closed(lists, rising).agg(F.coalesce(F.sum(F.size("common")), F.lit(0)).alias("triangles")), "triangles")
+    forget(ordered, lists)
+    return n
 
 
 def triangles_per_vertex(edges: DataFrame) -> DataFrame:
     """(id, triangles); 0 for vertices in none."""
-    n = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return endpoints(edges).join(n, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    ordered = _ordered(edges)
+    lists, rising = _out_lists(ordered)
+    size = F.size("common").cast("bigint")
+    ends = F.array(F.struct("id", size.alias("n")), F.struct(F.col("nbr").alias("id"), size.alias("n")))
+    each = F.concat(ends, F.transform("common", lambda c: F.struct(c.alias("id"), F.lit(1).cast("bigint").alias("n"))))
+    n = intersections.run(intersections.closed(lists, rising).select(F.explode(each).alias("e")).groupBy("e.id").agg(F.sum("e.n").alias("triangles")), "triangles")
+    forget(lists)
+    return endpoints(ordered).join(n, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
 def neighbor_mean(rows: DataFrame, values: DataFrame, k: int, seed: int) -> DataFrame:
