@@ -401,3 +401,70 @@ def test_sets_and_folds(spark):
     assert sets.all_true(a.withColumn("x", F.col("id") > 0), "x").first()[0] and sets.all_true(a.where("false").withColumn("x", F.lit(False)), "x").first()[0]
     assert sets.fold([1, 2, 3], lambda x, y: x - y) == -4 and sets.fold([], max) is None
     sets.for_each_partition(a, lambda r: list(r))
+
+
+# pairs of lists --------------------------------------------------------------------------------------------------
+
+
+def test_lists_of_pairs_meet_without_rows_for_candidates(spark):
+    """Neither triangles nor common neighbors shuffle a row for each wedge: of a graph whose wedges are hundreds for each edge, a few rows for each edge move."""
+    rng = random.Random(8)
+    pairs = list({(min(p), max(p)) for p in ((rng.randrange(300), rng.randrange(300)) for _ in range(9000)) if p[0] != p[1]})
+    near = {v: set() for v in range(300)}
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    e = edges(spark, pairs).repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store = lambda: spark._jsparkSession.sharedState().statusStore()
+    moved = lambda n: max([0, *(int(m) for k in range(n, store().executionsCount()) for m in _shuffled_rows(store(), k))])
+    for f, want in (
+        (lambda: rows(neighbors.common_neighbors(e, e.toDF("a", "b"))), sorted(((a, b, len(near[a] & near[b])) for a, b in pairs), key=repr)),
+        (lambda: algorithms.triangle_count(e).first()[0], sum(len(near[a] & near[b]) for a, b in pairs) // 3),
+        (lambda: rows(algorithms.triangles_per_vertex(e)), sorted(((v, sum(len(near[v] & near[b]) for b in near[v]) // 2) for v in near), key=repr)),
+    ):
+        before = store().executionsCount()
+        assert f() == want
+        assert 0 < moved(before) < 4 * len(pairs)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _shuffled_rows(store, k):
+    """Shuffle records written by each exchange of the query execution ``k``."""
+    values, graph = store.executionMetrics(k), store.planGraph(k)
+    nodes = graph.allNodes()
+    for i in range(nodes.size()):
+        for j in range(nodes.apply(i).metrics().size()):
+            m = nodes.apply(i).metrics().apply(j)
+            if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                yield values.apply(m.accumulatorId()).split("\n")[-1].split(" ")[0].replace(",", "")
+
+
+def test_common_neighbors_of_any_pairs(spark):
+    """Repeated pairs, ends without edges, null ends, other columns, hubs on either side, and lists over many blocks."""
+    rng = random.Random(9)
+    links = [(0, k) for k in range(1, 60)] + [(1, k) for k in range(2, 50, 3)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(150)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    asked = [(rng.randrange(64), rng.randrange(64), str(k)) for k in range(400)] + [(0, 1, "x"), (0, 1, "x"), (1, 0, "y"), (None, 1, "n"), (1, None, "m"), (99, 98, "z"), (0, 0, "self")]
+    want = sorted(((a, b, t, len(near.get(a, set()) & near.get(b, set()))) for a, b, t in asked), key=repr)
+    p = spark.createDataFrame(asked, "a long, b long, t string")
+    for long in (10_000, 20):
+        assert rows(neighbors.common_neighbors(edges(spark, links), p, long=long).select("a", "b", "t", "common")) == want
+
+
+def test_triangles_with_heavy_vertices(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "HEAVY", 3)
+    rng = random.Random(10)
+    pairs = [(90, k) for k in range(60)] + [(5, k) for k in range(60)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(7, 7)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {tuple(sorted((a, b, c))) for a in near for b in near[a] for c in near[a] & near[b]}
+    got = [tuple(sorted(r)) for r in algorithms.triangles(edges(spark, pairs)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert algorithms.triangle_count(edges(spark, pairs)).first()[0] == len(want)
+    assert algorithms.triangle_count(edges(spark, [(1, 1)])).first()[0] == 0
+    per = {r["id"]: r["triangles"] for r in algorithms.triangles_per_vertex(edges(spark, [*pairs, (500, 500)])).collect()}
+    assert per == {v: sum(v in t for t in want) for v in [*near, 500]}
