@@ -128,9 +128,9 @@ def triangles_per_vertex(edges: DataFrame) -> DataFrame:
     return endpoints(ordered).join(n, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
-def neighbor_mean(rows: DataFrame, values: DataFrame, k: int, seed: int) -> DataFrame:
-    """(id, mean): the mean of ``value`` over at most k sampled neighbors; rows (id, nbr), values (id, value)."""
-    picked = sampling.k_uniform(rows, k, seed)
+def neighbor_mean(rows: DataFrame, values: DataFrame, k: int, seed: int, n_rows: int = 0) -> DataFrame:
+    """(id, mean): the mean of ``value`` over at most k sampled neighbors; rows (id, nbr), values (id, value). ``n_rows`` as for ``sampling.k_uniform``."""
+    picked = sampling.k_uniform(rows, k, seed, n_rows=n_rows)
     return picked.join(values.select(F.col("id").alias("nbr"), "value"), "nbr").groupBy("id").agg(F.avg("value").alias("mean"))
 
 

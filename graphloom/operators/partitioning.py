@@ -55,8 +55,8 @@ def strategy(name: str):
 
 
 def partition_by(edges: DataFrame, name: str, n: int) -> DataFrame:
-    """Edges with their partition number ``pid``, and brought to it."""
-    return edges.withColumn("pid", strategy(name)(n)).repartition(n, "pid")
+    """Edges with their partition number ``pid``, and brought to it: edges of one number stand together, in several tasks of bounded size where they are many."""
+    return edges.withColumn("pid", strategy(name)(n)).hint("rebalance", n, F.col("pid"))
 
 
 def by_id_range(vertices: DataFrame, n: int) -> DataFrame:

@@ -415,28 +415,33 @@ def test_lists_of_pairs_meet_without_rows_for_candidates(spark):
         near[a].add(b), near[b].add(a)
     e = edges(spark, pairs).repartition(3)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    store = lambda: spark._jsparkSession.sharedState().statusStore()
-    moved = lambda n: max([0, *(int(m) for k in range(n, store().executionsCount()) for m in _shuffled_rows(store(), k))])
     for f, want in (
         (lambda: rows(neighbors.common_neighbors(e, e.toDF("a", "b"))), sorted(((a, b, len(near[a] & near[b])) for a, b in pairs), key=repr)),
         (lambda: algorithms.triangle_count(e).first()[0], sum(len(near[a] & near[b]) for a, b in pairs) // 3),
         (lambda: rows(algorithms.triangles_per_vertex(e)), sorted(((v, sum(len(near[v] & near[b]) for b in near[v]) // 2) for v in near), key=repr)),
     ):
-        before = store().executionsCount()
-        assert f() == want
-        assert 0 < moved(before) < 4 * len(pairs)
+        assert most_rows(spark, "shuffle records written", lambda f=f, want=want: _equal(f(), want)) < 4 * len(pairs)
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def _shuffled_rows(store, k):
-    """Shuffle records written by each exchange of the query execution ``k``."""
-    values, graph = store.executionMetrics(k), store.planGraph(k)
-    nodes = graph.allNodes()
-    for i in range(nodes.size()):
-        for j in range(nodes.apply(i).metrics().size()):
-            m = nodes.apply(i).metrics().apply(j)
-            if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
-                yield values.apply(m.accumulatorId()).split("\n")[-1].split(" ")[0].replace(",", "")
+def _equal(got, want):
+    assert got == want
+
+
+def most_rows(spark, metric, run):
+    """The largest ``metric`` of any plan node of the queries that ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, most = store.executionsCount(), 0
+    run()
+    for k in range(before, store.executionsCount()):
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for i in range(nodes.size()):
+            for j in range(nodes.apply(i).metrics().size()):
+                m = nodes.apply(i).metrics().apply(j)
+                if m.name() == metric and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).split("\n")[-1].split(" ")[0].replace(",", "")))
+    assert most
+    return most
 
 
 def test_common_neighbors_of_any_pairs(spark):
@@ -468,3 +473,48 @@ def test_triangles_with_heavy_vertices(spark, monkeypatch):
     assert algorithms.triangle_count(edges(spark, [(1, 1)])).first()[0] == 0
     per = {r["id"]: r["triangles"] for r in algorithms.triangles_per_vertex(edges(spark, [*pairs, (500, 500)])).collect()}
     assert per == {v: sum(v in t for t in want) for v in [*near, 500]}
+
+
+def test_node2vec_does_not_read_a_hub_for_each_walk(spark):
+    """Walks of which no draw is accepted find their neighbor without a row for each neighbor of the hub."""
+    e = edges(spark, [(0, k) for k in range(1, 501)])
+    assert most_rows(spark, "number of output rows", lambda: walks.node2vec(e, 3, 0.5, 0.8, 3, tries=1).collect()) < 6000
+
+
+@pytest.mark.parametrize("direction", [BOTH, OUT])
+def test_node2vec_equals_brute_force(spark, direction):
+    import hashlib
+
+    rng = random.Random(11)
+    pairs = [(rng.randrange(14), rng.randrange(14)) for _ in range(50)] + [(0, k) for k in range(1, 14)] + [(3, 3), (20, 3)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        if direction is BOTH:
+            near.setdefault(b, set()).add(a)
+    u = lambda *key: int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:13], 16) / 2**52
+    p, q = 0.25, 0.5
+    weigh = lambda prev, x: 4.0 if x == prev else 1.0 if x in near.get(prev, ()) else 2.0
+
+    def walk(start, tries):
+        path, prev, cur = [start], None, start
+        for at in range(1, 6):
+            if not (options := sorted(near.get(cur, ()))):
+                break
+            nxt = None
+            for t in range(1 if prev is None else tries):
+                x = options[int(u(9, "node2vec", start, 0, at, t) * len(options))]
+                if nxt is None and (prev is None or u(9, "accept", start, 0, at, t) * 4.0 < weigh(prev, x)):
+                    nxt = x
+            if nxt is None:
+                goal, cum = u(9, "node2vec", start, 0, at) * sum(weigh(prev, x) for x in options), 0.0
+                for x in options:
+                    cum += weigh(prev, x)
+                    if nxt is None and cum > goal:
+                        nxt = x
+            path, prev, cur = [*path, nxt], cur, nxt
+        return path
+
+    for tries in (1, 3):
+        got = {r["start"]: r["path"] for r in walks.node2vec(edges(spark, pairs), 6, p, q, 9, direction=direction, tries=tries).collect()}
+        assert got == {v: walk(v, tries) for v in {x for e in pairs for x in e}}
