@@ -52,7 +52,8 @@ def pregel(
     v = cut(v)
     gate = EdgeActiveness.NEITHER if active_direction is None else ACTIVENESS[active_direction]
     for _ in range(max_iterations + 1):
-        got = aggregate_messages(PropertyGraph(v, edges), sends, merge, gate)
+        # the side of the vertices is hashed, so that edges are not sorted in each round
+        got = aggregate_messages(PropertyGraph(v.hint("shuffle_hash"), edges), sends, merge, gate)
         both = v.join(got, "id", "left")
         m = F.col("msg")
         on = F.when(m.isNotNull(), F.coalesce(holds(a, m), F.lit(False))).otherwise(F.lit(False))
