@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
@@ -25,13 +25,16 @@ def pagerank(
     One join and one aggregate a round. The neighbor table holds the shares (1 / degree) and a row from each vertex to itself, which
     brings its own rank to the aggregate; it is bucketed by vertex once, so only messages move, after partial sums.
     """
-    d = degrees.degrees(edges)
-    shares = directed(edges, EdgeDirection.BOTH).join(d, "id").select("id", "nbr", (1.0 / F.col("degree")).alias("share"))
-    own = d.select("id", F.col("id").alias("nbr"), F.lit(None).cast("double").alias("share"))
-    table = bucketed(shares.unionAll(own), "id")
+    # edges are read once; a vertex's row to itself stands beside its first neighbor
+    w = Window.partitionBy("id")
+    placed = directed(edges, EdgeDirection.BOTH).withColumn("degree", F.count(F.lit(1)).over(w)).withColumn("first", F.row_number().over(w.orderBy("nbr")) == 1)
+    share = F.struct("nbr", (1.0 / F.col("degree")).alias("share"))
+    own = F.struct(F.col("id").alias("nbr"), F.lit(None).cast("double").alias("share"))
+    table = bucketed(placed.select("id", F.explode(F.when(F.col("first"), F.array(share, own)).otherwise(F.array(share))).alias("to")).select("id", "to.*"), "id")
     ranks = table.where("share IS NULL").select("id", F.lit(float(init)).alias("rank"))
     for k in range(1, rounds + 1):
-        got = table.join(ranks, "id").groupBy(F.col("nbr").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("msg"), F.max(F.when(F.col("share").isNull(), F.col("rank"))).alias("rank"))
+        # ranks are hashed, so that the table is not sorted again
+        got = table.join(ranks.hint("shuffle_hash"), "id").groupBy(F.col("nbr").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("msg"), F.max(F.when(F.col("share").isNull(), F.col("rank"))).alias("rank"))
         move = (1 - reset) * (F.col("msg") - F.col("rank"))
         new = F.when(F.col("msg").isNull(), reset * F.col("rank")).when(F.abs(move) < freeze, F.col("rank")).otherwise(reset * F.col("rank") + (1 - reset) * F.col("msg"))
         ranks = got.select("id", new.alias("rank"))
@@ -163,16 +166,17 @@ def svd_plus_plus(edges: DataFrame, rating: str = "rating", conf: SvdConf = SvdC
     if conf.max_value <= conf.min_value:
         raise ValueError(f"the largest rating {conf.max_value} must be above the smallest {conf.min_value}")
     r = range(conf.rank)
-    ratings = cut(edges.select("src", "dst", F.col(rating).cast("double").alias("rating")))
+    # lies by user and by item: each phase reads what it joins in place
+    ratings = bucketed(edges.select("src", "dst", F.col(rating).cast("double").alias("rating")), "src")
+    by_item = bucketed(ratings, "dst")
     mean = ratings.agg(F.avg("rating")).first()[0] or 0.0
     start = [uniform(conf.seed, f"v{v}", F.col("id"), k).alias(f"v{v}_{k}") for v in (1, 2) for k in r]
     vertices = cut(degrees.bias_init(ratings, "rating").select("id", *start, F.col("bias").alias("v3"), F.col("norm").alias("v4")))
-    user = [F.col("id").alias("src"), *[F.col(f"v1_{k}").alias(f"p{k}") for k in r], *[F.col(f"v2_{k}").alias(f"z{k}") for k in r], F.col("v3").alias("bu"), F.col("v4").alias("nu")]
+    user = [F.col("id").alias("src"), *[F.col(f"v2_{k}").alias(f"z{k}") for k in r], F.col("v3").alias("bu"), F.col("v4").alias("nu")]
     item = [F.col("id").alias("dst"), *[F.col(f"v1_{k}").alias(f"q{k}") for k in r], *[F.col(f"v2_{k}").alias(f"y{k}") for k in r], F.col("v3").alias("bi")]
-    errors = None
-    for step in range(conf.max_iterations):
+    for _ in range(conf.max_iterations):
         # phase 1: users take the sum of their items' implicit factors
-        sums = ratings.join(vertices.select(F.col("id").alias("dst"), *[f"v2_{k}" for k in r]), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(f"v2_{k}").alias(f"s{k}") for k in r])
+        sums = by_item.join(vertices.select(F.col("id").alias("dst"), *[f"v2_{k}" for k in r]), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(f"v2_{k}").alias(f"s{k}") for k in r])
         took = F.col("s0").isNotNull()
         vertices = vertices.join(sums, "id", "left").withColumns({f"v2_{k}": F.when(took, F.col(f"v1_{k}") + F.col("v4") * F.col(f"s{k}")).otherwise(F.col(f"v2_{k}")) for k in r}).drop(*[f"s{k}" for k in r])
         vertices = cut(vertices)
@@ -181,14 +185,17 @@ def svd_plus_plus(edges: DataFrame, rating: str = "rating", conf: SvdConf = SvdC
         dot = sum((F.col(f"q{k}") * F.col(f"z{k}") for k in r), F.lit(0.0))
         guess = F.least(F.greatest(F.lit(mean) + F.col("bu") + F.col("bi") + dot, F.lit(float(conf.min_value))), F.lit(float(conf.max_value)))
         both = both.withColumn("err", F.col("rating") - guess)
-        if step == conf.max_iterations - 1:
-            errors = cut(both.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("err") * F.col("err")).alias("error")))
         g2, g7 = conf.gamma2, conf.gamma7
         implicit = [(g2 * (F.col("err") * F.col("nu") * F.col(f"q{k}") - g7 * F.col(f"y{k}"))).alias(f"y{k}") for k in r]
-        of_user = F.struct(F.col("src").alias("id"), *[(g2 * (F.col("err") * F.col(f"q{k}") - g7 * F.col(f"p{k}"))).alias(f"x{k}") for k in r], *implicit, (conf.gamma1 * (F.col("err") - conf.gamma6 * F.col("bu"))).alias("b"))
-        of_item = F.struct(F.col("dst").alias("id"), *[(g2 * (F.col("err") * F.col(f"z{k}") - g7 * F.col(f"q{k}"))).alias(f"x{k}") for k in r], *implicit, (conf.gamma1 * (F.col("err") - conf.gamma6 * F.col("bi"))).alias("b"))
-        moves = both.select(F.explode(F.array(of_user, of_item)).alias("m")).select("m.*").groupBy("id").agg(*[F.sum(f"{x}{k}").alias(f"d{x}{k}") for x in "xy" for k in r], F.sum("b").alias("db"))
-        new = {f"v1_{k}": F.col(f"v1_{k}") + F.coalesce(f"dx{k}", F.lit(0.0)) for k in r} | {f"v2_{k}": F.col(f"v2_{k}") + F.coalesce(f"dy{k}", F.lit(0.0)) for k in r} | {"v3": F.col("v3") + F.coalesce("db", F.lit(0.0))}
-        vertices = cut(vertices.join(moves, "id", "left").withColumns(new).select("id", *[f"v{v}_{k}" for v in (1, 2) for k in r], "v3", "v4"))
-    factors = vertices.join(errors, "id", "left").select("id", *[F.array(*[f"v{v}_{k}" for k in r]).alias(f"v{v}") for v in (1, 2)], "v3", F.coalesce("error", "v4").alias("v4"))
+        # a user's own factors do not travel with each rating: their share is taken from the number of ratings, after the sums
+        of_user = F.struct(F.col("src").alias("id"), *[(g2 * F.col("err") * F.col(f"q{k}")).alias(f"x{k}") for k in r], *implicit, (conf.gamma1 * (F.col("err") - conf.gamma6 * F.col("bu"))).alias("b"), F.lit(1).alias("n"), F.lit(None).cast("double").alias("e"))
+        of_item = F.struct(F.col("dst").alias("id"), *[(g2 * (F.col("err") * F.col(f"z{k}") - g7 * F.col(f"q{k}"))).alias(f"x{k}") for k in r], *implicit, (conf.gamma1 * (F.col("err") - conf.gamma6 * F.col("bi"))).alias("b"), F.lit(0).alias("n"), (F.col("err") * F.col("err")).alias("e"))
+        moves = both.select(F.explode(F.array(of_user, of_item)).alias("m")).select("m.*").groupBy("id").agg(*[F.sum(f"{x}{k}").alias(f"d{x}{k}") for x in "xy" for k in r], F.sum("b").alias("db"), F.sum("n").alias("n"), F.sum("e").alias("error"))
+        new = {f"v1_{k}": F.col(f"v1_{k}") + F.coalesce(F.col(f"dx{k}") - g2 * g7 * F.col("n") * F.col(f"v1_{k}"), F.lit(0.0)) for k in r} | {f"v2_{k}": F.col(f"v2_{k}") + F.coalesce(f"dy{k}", F.lit(0.0)) for k in r} | {"v3": F.col("v3") + F.coalesce("db", F.lit(0.0))}
+        vertices = cut(vertices.join(moves, "id", "left").withColumns(new).select("id", *[f"v{v}_{k}" for v in (1, 2) for k in r], "v3", "v4", "error"))
+        errors = vertices.where("error IS NOT NULL").select("id", "error")
+        factors = vertices
+        vertices = vertices.drop("error")
+    forget(by_item, ratings)
+    factors = factors.select("id", *[F.array(*[f"v{v}_{k}" for k in r]).alias(f"v{v}") for v in (1, 2)], "v3", F.coalesce("error", "v4").alias("v4"))
     return SvdModel(factors, errors, mean)
