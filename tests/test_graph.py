@@ -518,3 +518,43 @@ def test_node2vec_equals_brute_force(spark, direction):
     for tries in (1, 3):
         got = {r["start"]: r["path"] for r in walks.node2vec(edges(spark, pairs), 6, p, q, 9, direction=direction, tries=tries).collect()}
         assert got == {v: walk(v, tries) for v in {x for e in pairs for x in e}}
+
+
+# sizes of tasks --------------------------------------------------------------------------------------------------
+
+
+def test_tasks_follow_the_rows(spark):
+    """Where their number is known, rows go to more partitions than the session's, and repeated neighbors count once."""
+    r = spark.range(900).selectExpr("id % 30 AS id", "id % 7 AS nbr")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "4)" in plan(neighbors.plain_rows(r.toDF("src", "dst"))) and ", 9)" in plan(neighbors.plain_rows(r.toDF("src", "dst"), n_edges=9_000_000))
+    many = sampling.k_uniform(r, 3, 5, n_rows=9_000_000)
+    assert ", 9)" in plan(many) and rows(many) == rows(sampling.k_uniform(r.distinct(), 3, 5))
+    assert rows(sampling.one_uniform(r, 5)) == rows(sampling.one_uniform(r.distinct(), 5)) and "Sort" not in plan(sampling.one_uniform(r, 5))
+
+
+def test_parts_of_a_cut_are_split_by_size(spark):
+    e = spark.range(40_000).selectExpr("id AS src", "id * 7919 % 1000003 AS dst")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        got = partitioning.partition_by(e, "RandomVertexCut", 2).withColumn("task", F.spark_partition_id())
+        assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 15_000 and got.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_iterations_sort_no_edges(spark):
+    """Rounds of PageRank hash the ranks beside a table that lies in place."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = algorithms.pagerank(edges(spark, [(1, 2), (2, 3)]), 2)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_svd_plus_plus_counts_parallel_and_shared_ids(spark):
+    """An id that is a user and an item, and errors of all items."""
+    e = edges(spark, [(1, 2, 5.0), (2, 3, 1.0), (1, 3, 4.0), (4, 2, 2.0)], "rating double")
+    model = algorithms.svd_plus_plus(e, "rating", algorithms.SvdConf(rank=2))
+    assert {r["id"] for r in model.errors.collect()} == {2, 3} and model.factors.count() == 4
